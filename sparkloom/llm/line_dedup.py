@@ -16,8 +16,9 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(WHITESPACE)), UPPER, LOWER)
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
-    """doc_id, text (of the lines that stay, joined by newlines), n_lines, n_dropped; one row per row of docs.
+def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text (of the lines that stay, joined by newlines), n_lines, n_dropped, and the columns of docs
+    that keep names; one row per row of docs.
 
     Lines are exploded, their keys hashed to 128 bits, and the hashes counted by distinct documents. A key
     of at least min_chars code points that at least min_docs documents hold loses all its lines but those
@@ -28,8 +29,9 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataF
     Null or empty text is one empty line. Rows that share a doc_id are one document: none loses a line to
     another. Null ids are one document, which comes last. Other columns are ignored.
     """
-    base = texts(docs).select(
+    base = texts(docs, *keep).select(
         "doc_id",
+        *keep,
         F.coalesce("doc_id", F.lit(_NO_ID)).alias("did"),
         F.xxhash64("text").alias("tid"),
         "text",
@@ -57,10 +59,11 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataF
     )
     return (
         base.join(gone, ["did", "tid"], "left")
-        .select("doc_id", F.split("text", "\n", -1).alias("lines"), "text", "gone")
+        .select("doc_id", *keep, F.split("text", "\n", -1).alias("lines"), "text", "gone")
         .select(
             "doc_id",
             F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")).alias("text"),
+            *keep,
             n.cast("long").alias("n_lines"),
             F.when(F.col("gone").isNull(), 0).otherwise(k).cast("long").alias("n_dropped"),
         )

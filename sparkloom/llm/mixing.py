@@ -95,20 +95,17 @@ def mix_plan(
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """docs, each row as often as mix_plan says, and the number of the copy (from 1) in copy. Rows that share
-    a doc_id and a source are taken as often as all of them together, by turns."""
-    plan = mix_plan(docs, **how).filter("copies > 0").groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"))
-    plan = plan.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("copies").alias("_c"))
-    sized = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n"))
-    names = [c for c in docs.columns if c != "copy"]
-    turn = Window.partitionBy("doc_id", "source", "_size").orderBy("text")
-    alike = Window.partitionBy("doc_id", "source", "_size")
-    counted = sized.withColumn("_i", F.row_number().over(turn)).withColumn("_of", F.count("*").over(alike)).join(plan, same)
-    times = F.floor((F.col("_c") - F.col("_i")) / F.col("_of")) + 1
-    return counted.withColumn("_times", times.cast("int")).filter("_times > 0").select(
-        *names, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("copy")
-    )
+    """docs, each row as often as mix_plan says, and the number of the copy (from 1) in copy, which takes the place
+    of a column of that name. A text moves once. Rows that share an id, a source and a size get the copies
+    that the plan has for these, the most to the first by text."""
+    key = lambda size: F.xxhash64("doc_id", "source", size)
+    plan = mix_plan(docs, **how).withColumn("_key", key("size")).groupBy("_key").agg(F.sort_array(F.collect_list("copies"), False).alias("_copies"))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    keyed = docs.drop("copy").withColumn("_size", size).withColumn("_key", key("_size"))
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy("text"))
+    taken = keyed.withColumn("_nth", nth).join(plan, "_key").withColumn("_times", F.get("_copies", F.col("_nth") - 1))
+    names = [c for c in docs.columns if c.lower() != "copy"]
+    return taken.filter("_times > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("copy"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

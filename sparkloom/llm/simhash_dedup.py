@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -106,6 +107,8 @@ def near_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple
     tiles = [np.r_[np.flatnonzero(np.r_[True, (np.diff(p, axis=0) != 0).any(axis=1)]), len(p)] for p in pops]
     a, b = (0, 0) if right is None else (0, 1)
     counts_b, ends_b = pops[b][tiles[b][:-1]], tiles[b]
+    lanes = both.shape[1]
+    half = max(1, lanes // 2)  # the lanes that all pairs are compared by; the others, those that may yet be near
 
     def links() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for t in range(len(tiles[a]) - 1):
@@ -124,9 +127,12 @@ def near_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple
                 for r in range(0, len(rows), step):
                     mine = sides[a][rows[r : r + step]]
                     bits = np.bitwise_count(mine[:, None, 0] ^ other[None, :, 0]).astype(np.uint16)
-                    for lane in range(1, both.shape[1]):
+                    for lane in range(1, half):
                         bits += np.bitwise_count(mine[:, None, lane] ^ other[None, :, lane])
                     x, y = np.nonzero(bits <= radius)
+                    if half < lanes and len(x):
+                        bits = bits[x, y] + np.bitwise_count(mine[x, half:] ^ other[y, half:]).sum(axis=1, dtype=np.uint16)
+                        x, y = x[bits <= radius], y[bits <= radius]
                     if len(x):
                         yield orders[a][rows[r + x]], orders[b][some[y]]
 
@@ -241,6 +247,23 @@ def near_dedup(docs: DataFrame, words: int = 4, radius: int = 4, lanes: int = 1)
     return rows.join(named, names).select("doc_id", *names, "component_id")
 
 
+def drop_near(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4) -> DataFrame:
+    """docs without the documents that have a near copy of a smaller doc_id: of each component one stays.
+
+    Shingles of five words and a similarity of 0.8, as the cosine that fingerprints estimate: differing bits
+    are to all bits as the angle is to half a circle. Four lanes of 64 bits tell this apart from chance,
+    which one lane can't at that radius. Of rows that share an id one stays; rows without an id all stay."""
+    radius = int(64 * lanes * math.acos(similarity) / math.pi)
+    names = [f"f{i}" for i in range(lanes)]
+    found = near_dedup(docs, words, radius, lanes).drop(*names).filter("doc_id IS NOT NULL")
+    found = cut(found.groupBy("doc_id").agg(F.min("component_id").alias("component"), F.count("*").alias("rows")), "components")
+    gone = found.filter("component <> doc_id").select(F.col("doc_id").alias("_gone"))
+    stay = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    if found.filter("rows > 1").isEmpty():
+        return stay
+    return stay.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(stay.filter("doc_id IS NULL"))
+
+
 def hex_of(name: str) -> Column:
     return F.lower(F.lpad(F.hex(name), 16, "0"))
 
