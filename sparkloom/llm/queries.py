@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op8_decontamination
 from .fingerprints import op9_fingerprints
 from .language import op10_language
+from .lm import op3_lm
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .mixing import op7_mixing
 from .pii import op5_pii
@@ -15,6 +16,7 @@ from .substring_dedup import op6_substring_dedup
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
+    "op3_lm": op3_lm,
     "op4_quality": op4_quality,
     "op5_pii": op5_pii,
     "op6_substring_dedup": op6_substring_dedup,
