@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import LOWER, UPPER, WHITESPACE, table, texts
+from ._shared import LOWER, UPPER, WHITESPACE, cut, table, texts
 
 #: Stands for a null id in comparisons, so that it comes after every other id.
 _NO_ID = 2**63 - 1
@@ -44,8 +44,9 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, keep: tu
     )
     several = F.min("did") < F.max("did") if min_docs == 2 else F.countDistinct("did") >= min_docs
     repeated = keys.groupBy("k1", "k2").agg(F.min("did").alias("first"), several.alias("several")).filter("several")
+    repeated = cut(repeated.drop("several"), "repeated")  # else the join takes up the sums' partitioning, which can't be split
     gone = (
-        keys.join(repeated.drop("several"), ["k1", "k2"])
+        keys.join(repeated, ["k1", "k2"])
         .filter("did <> first")
         .groupBy("did", "tid")
         .agg(F.sort_array(F.collect_set("pos")).alias("gone"))
