@@ -60,7 +60,7 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def tokenized(docs: DataFrame, chunk_bytes: int = 12 << 20) -> DataFrame:
+def tokenized(docs: DataFrame, chunk_bytes: int = 8 << 20) -> DataFrame:
     """chunk, data: the documents of docs (id, train, text as bytes) in chunks of about chunk_bytes of text,
     none of which spans tasks; data has ids, whether to learn from each, tokens in each, the tokens (words and
     an end) as numbers, and the sorted hashes they number. Also n, the number of tokens to learn from."""
@@ -186,7 +186,7 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def scores(docs: DataFrame, train, tokens_per_bucket: int = 1_200_000, most_buckets: int = 4096) -> DataFrame:
+def scores(docs: DataFrame, train, tokens_per_bucket: int = 600_000, most_buckets: int = 4096) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs, in which the
     column expression `train` says what to learn from.
 
