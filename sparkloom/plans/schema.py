@@ -11,17 +11,23 @@ BEHAVIORS = ("logging", "error-handle", "database", "http-client", "file-io", "c
 PATTERNS = ("constructors", "error-handling", "tests", "entrypoints", "sinks", "sources", "hotspots")
 # End of the fixed values.
 
-SUMMARY = T.StructType.fromDDL("text string, generated_by string, model string, created_at bigint, updated_at bigint")
-NODES = T.StructType.fromDDL(
-    "id string not null, type string, package string, name string, file string, line int, col int, signature string, docstring string, "
-    "code string, summary struct<text: string, generated_by: string, model: string, created_at: bigint, updated_at: bigint>, "
-    "methods array<struct<name: string, signature: string>>, receiver string, kind string, behaviors array<string>, extra string"
-)
-EDGES = T.StructType.fromDDL("from_id string not null, to_id string not null, type string not null, pointer_receiver boolean, seq bigint, extra string")
-EMBEDDINGS = T.StructType.fromDDL(
-    "node_id string not null, summary_text string, code_text string, summary_embedding array<float>, code_embedding array<float>, "
-    "summary_norm double, code_norm double"
-)
+_TEXT, _INT, _LONG = T.StringType(), T.IntegerType(), T.LongType()
+
+
+def _struct(*needed: str, **fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind, name not in needed) for name, kind in fields.items()])
+
+
+SUMMARY = _struct(text=_TEXT, generated_by=_TEXT, model=_TEXT, created_at=_LONG, updated_at=_LONG)
+NODES = _struct(
+    "id", id=_TEXT, type=_TEXT, package=_TEXT, name=_TEXT, file=_TEXT, line=_INT, col=_INT, signature=_TEXT, docstring=_TEXT, code=_TEXT,
+    summary=SUMMARY, methods=T.ArrayType(_struct(name=_TEXT, signature=_TEXT)), receiver=_TEXT, kind=_TEXT, behaviors=T.ArrayType(_TEXT), extra=_TEXT,
+)
+EDGES = _struct("from_id", "to_id", "type", from_id=_TEXT, to_id=_TEXT, type=_TEXT, pointer_receiver=T.BooleanType(), seq=_LONG, extra=_TEXT)
+EMBEDDINGS = _struct(
+    "node_id", node_id=_TEXT, summary_text=_TEXT, code_text=_TEXT, summary_embedding=T.ArrayType(T.FloatType()),
+    code_embedding=T.ArrayType(T.FloatType()), summary_norm=T.DoubleType(), code_norm=T.DoubleType(),
+)
 
 
 def shaped(df, schema: T.StructType):
