@@ -5,7 +5,6 @@ import os
 import time
 
 import pytest
-from pyspark.sql import functions as F
 
 from sparkloom.plans.api import Server
 from sparkloom.plans.index import index_module, reindex_files
@@ -182,4 +181,14 @@ def test_providers():
     assert chat_client("http://x", "k", "m", post=lambda *a: {"choices": [{"message": {"content": " hi "}}]})("q") == "hi"
     assert from_environment("embedding", {}) is None
     assert callable(from_environment("embedding", {"EMBEDDING_PROVIDER": "openai"}))
-    assert F is not None
+
+
+def test_sample_queries(spark):
+    from sparkloom.plans.sample import QUERIES
+
+    got = {name: q(spark, "").collect() for name, q in QUERIES.items()}
+    assert all(got.values())
+    assert {(r["from_id"], r["pointer_receiver"]) for r in got["S11_implements"]} == {("type_example.com/shop/cart_Cart", True)}
+    assert {r["resolution"] for r in got["S6_call_resolution"]} >= {"receiver", "import", "ident"}
+    assert not any("Run" in r["node_id"] for r in got["K4_embedding_delete"])
+    assert len(got["K1_snapshot_round_trip"]) == 7
