@@ -272,6 +272,28 @@ QUERIES["V13_behavior_search"] = lambda spark, sf: _found(
 QUERIES["J8_hydrate"], ORACLE_SQL["J8_hydrate"] = QUERIES["V10_semantic_search"], ORACLE_SQL["V10_semantic_search"]
 QUERIES["J9_candidates"], ORACLE_SQL["J9_candidates"] = QUERIES["V7_score_nodes"], ORACLE_SQL["V7_score_nodes"]
 
+query("V5_top_k", _VECTORS + "SELECT node_id, round(sqrt(list_dot_product(s, s)), 6) AS score FROM f ORDER BY sqrt(list_dot_product(s, s)) DESC, node_id LIMIT 7", graph=False)(
+    lambda spark, sf: vectors.top_k(table_embeddings(spark, sf).select("node_id", F.col("summary_norm").alias("score")), 7).select("node_id", F.round("score", 6).alias("score"))
+)
+QUERIES["O6_heap_top_k"], ORACLE_SQL["O6_heap_top_k"] = QUERIES["V5_top_k"], ORACLE_SQL["V5_top_k"]
+query("V12_search_functions", _where("type = 'function' AND (contains(lower(name), 'neworder2') OR contains(lower(package), 'neworder2'))") + " ORDER BY name, id LIMIT 10")(
+    lambda g: node_columns(search.search_functions(g, None, "NewOrder2"))
+)
+query("A13_embedding_flags", _VECTORS + "SELECT node_id, s IS NOT NULL AS has_summary, c IS NOT NULL AS has_code FROM f", graph=False)(
+    lambda spark, sf: table_embeddings(spark, sf).select("node_id", F.col("summary_embedding").isNotNull().alias("has_summary"), F.col("code_embedding").isNotNull().alias("has_code"))
+)
+query(
+    "A12_discover_patterns",
+    f"SELECT 'constructors' AS pattern, count(*) AS n FROM nodes WHERE package = 'orders' AND type = 'function' AND regexp_matches(name, '^New[A-Z]') UNION ALL SELECT 'tests', count(*) FROM nodes WHERE package = 'orders' AND {_CALLABLE} AND {_IS_TEST} UNION ALL SELECT 'unknown', 0",
+)(lambda g: _pattern_counts(g))
+query("O2_sorted_by_count", "SELECT to_id AS id, count(*) AS n FROM edges WHERE type = 'calls' GROUP BY to_id ORDER BY n DESC, id LIMIT 50")(
+    lambda g: g.calls().groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(50)
+)
+query("O3_sorted_strings", "SELECT DISTINCT package FROM nodes ORDER BY package")(lambda g: g.packages())
+query("O5_sliced_list", _where(f"{_CALLABLE} AND list_has_all(coalesce(behaviors, []), ['view'])") + " ORDER BY name, id LIMIT 15")(
+    lambda g: node_columns(search.behavior_search(g, None, ["view"], limit=15))
+)
+
 # Streams: bursts of events as the debounce sees them, here over the stored table.
 query(
     "T2_debounce",
@@ -294,6 +316,11 @@ def _resolved(g: Graph) -> DataFrame:
     return resolve_placeholders(g.nodes, unresolved).select("from_id", "to_id")
 
 
+def _pattern_counts(g: Graph) -> DataFrame:
+    count = lambda p, package, label: analysis.patterns(g, package, p).agg(F.count("*").alias("n")).select(F.lit(label).alias("pattern"), "n")
+    return count("constructors", "orders", "constructors").union(count("tests", "orders", "tests")).union(count("sinks", "no such package", "unknown"))
+
+
 def _context(g: Graph, id_: str) -> DataFrame:
     nothing = {c: F.lit(None).cast("string").alias(c) for c in ("code", "docstring")}
     nodes = g.nodes.select("*", *nothing.values(), F.lit(None).cast("struct<text: string>").alias("summary"))
