@@ -21,9 +21,10 @@ def reach(edges: DataFrame, start: list[str], max_depth: int | None = None) -> D
     """id, depth: what start leads to along edges (src, dst), with the least number of hops; start at 0.
 
     Each hop joins the last frontier only, drops what has been seen, and is cut, so that plans stay short and
-    cycles end. The edges are cut once, by their source."""
+    cycles end. The edges are read once a hop, and stay where they are while the frontier is small enough to
+    be broadcast, which is the optimizer's choice by its size; so give edges of a stored graph."""
     spark = edges.sparkSession
-    steps = cut(edges.select("src", "dst").distinct(), "steps")
+    steps = edges.select("src", "dst")
     frontier = spark.createDataFrame([(s, 0) for s in sorted(set(start))], "id string, depth int")
     seen, depth = frontier, 0
     while max_depth is None or depth < max_depth:
@@ -50,7 +51,7 @@ def shortest_path(graph: Graph, source: str, target: str, max_depth: int | None
             raise NodeNotFound(id_)
     if source == target:
         return [source]
-    steps = cut(calls(graph).distinct(), "steps")
+    steps = calls(graph)
     spark = steps.sparkSession
     frontier = spark.createDataFrame([(source, [source])], "id string, path array<string>")
     seen, depth = frontier.select("id"), 0
