@@ -103,7 +103,7 @@ def id_buckets(ids: DataFrame, rows: int, most: int) -> tuple[Column, int]:
     return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(tree(0, len(edges) - 1)).cast("long"), wanted
 
 
-def with_edits(docs: DataFrame, bucket_rows: int = 512, most_buckets: int = 65536) -> DataFrame:
+def with_edits(docs: DataFrame, bucket_rows: int = 128, most_buckets: int = 65536) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, next_fingerprint, one row per row of docs.
 
     The edited text has its last third (rounded down, in code points) replaced by as many code points from the
