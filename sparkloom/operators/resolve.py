@@ -31,7 +31,7 @@ def implements_edges(method_sets: DataFrame, required: DataFrame) -> DataFrame:
     matched = have.join(named, ["name", "signature"]).groupBy("type_id", "interface_id").agg(F.count("*").alias("n"), F.max("pointer").alias("pointer_receiver"))
     full = matched.join(needed, "interface_id").filter("n = needed").select("type_id", "interface_id", "pointer_receiver")
     empty = required.select("interface_id").distinct().join(needed, "interface_id", "left_anti")
-    every = method_sets.select("type_id").distinct().crossJoin(F.broadcast(empty.limit(10_000))).withColumn("pointer_receiver", F.lit(False))
+    every = method_sets.select("type_id").distinct().crossJoin(empty).withColumn("pointer_receiver", F.lit(False))
     return full.unionByName(every).filter("type_id <> interface_id").select(
         F.col("type_id").alias("from_id"), F.col("interface_id").alias("to_id"), F.lit("implements").alias("type"), "pointer_receiver"
     )
