@@ -111,6 +111,56 @@ def test_tiles_find_every_link():
         assert [many[find(i)] for i in range(len(many))] == groups(many, many, 4)
 
 
+@pytest.mark.parametrize("chunk", [200, 1 << 16])
+def test_size_tiles_find_every_link(monkeypatch, chunk):
+    """Wide fingerprints whose links need sizes of a ratio of 0.8, within a block and between two."""
+    monkeypatch.setattr(simhash_dedup, "_AT_ONCE", chunk)
+    draw = np.random.default_rng(2)
+    base = draw.integers(0, 2**63, (40, 4), dtype=np.uint64)
+    noise = draw.integers(0, 2**63, (40, 7, 4, 3), dtype=np.uint64)
+    noise = noise[..., 0] & noise[..., 1] & noise[..., 2] & (np.uint64(0) - draw.integers(0, 2, (40, 7, 4), dtype=np.uint64))
+    grid = (base[:, None] ^ noise).reshape(-1, 4)
+    n = np.r_[[4, 5, 8, 10, 1000, 1250, 1], draw.integers(1, 60, len(grid) - 7)].astype(np.int64)
+
+    def near(i, j):
+        return sum(int(x).bit_count() for x in grid[i] ^ grid[j]) <= 30 and 10 * min(n[i], n[j]) >= 8 * max(n[i], n[j])
+
+    def roots(links):
+        root = list(range(len(grid)))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return [find(i) for i in range(len(grid))]
+
+    want = roots((i, j) for i, j in itertools.combinations(range(len(grid)), 2) if near(i, j))
+    assert 40 < len(set(want)) < len(grid)
+    k = 100
+    parts = [(slice(0, None), None, 0)], [(slice(0, k), None, 0), (slice(k, None), None, k), (slice(0, k), slice(k, None), 0)]
+    for split in parts:
+        links = []
+        for a, b, shift in split:
+            sizes = (n[a], None if b is None else n[b])
+            found = simhash_dedup.near_links(grid[a], None if b is None else grid[b], 30, sizes, 0.8)
+            links += [(int(x) + shift, int(y) + shift) for x, y in zip(*found, strict=True)]
+        assert roots(links) == want
+
+
+def test_blocks_cover_sizes():
+    """Steps of size: pairs of sizes of a ratio of 0.8 are in blocks that are compared."""
+    step = lambda n: math.floor(math.log(n) * (simhash_dedup.STEPS / -math.log(0.8)))
+    cells = Counter((step(n), 0) for n in range(1, 3000))
+    where, pairs = simhash_dedup._blocks(cells, 50, simhash_dedup.STEPS + 1)
+    place = {lo: range(f, f + k) for lo, _, f, k in where}
+    have = {frozenset(p) for p in pairs}
+    for n in (*range(1, 400), 2000):
+        assert all(frozenset((i, j)) in have for i in place[step(n)] for j in place[step(math.floor(n / 0.8))])
+
+
 def test_blocks_cover_all_near_cells():
     cells = {(a, b): 7 + a for a in range(10, 22) for b in range(10, 22)}
     where, pairs = simhash_dedup._blocks(cells, 40, 4)
