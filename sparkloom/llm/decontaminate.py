@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, table, texts
+from ._shared import LOWER, UPPER, bounded_batches, table, texts
 
 WINDOW = 10
 #: A-Z lower-cased; bytes that are not part of a word become spaces. A word is [^\x00-\x2F\x3A-\x60\x7B-\x7F]+.
@@ -197,3 +197,26 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+_WORDS_SQL = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item_id, {_WORDS_SQL} AS w FROM benchmark),
+b_at AS (SELECT item_id, w, least({WINDOW}, len(w)) AS n, unnest(range(1, greatest(0, len(w) - {WINDOW}) + 2)) AS pos FROM b WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(w[pos:pos + n - 1], ' ') AS key FROM b_at),
+lengths AS (SELECT DISTINCT n FROM windows),
+t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+g AS (SELECT doc_id, pos, [word, {', '.join(f'lead(word, {k}) OVER o' for k in range(1, WINDOW))}] AS ws
+      FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+hits AS (SELECT doc_id, pos, x.n AS n, item_id
+         FROM (SELECT doc_id, pos, n, array_to_string(ws[1:n], ' ') AS key FROM g, lengths WHERE ws[n] IS NOT NULL) x
+         JOIN windows ON x.n = windows.n AND x.key = windows.key),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+            FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS p FROM (SELECT DISTINCT doc_id, pos, n FROM hits)) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+          FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""

@@ -112,3 +112,28 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken")
     )
+
+
+OP7_SQL = r"""
+WITH RECURSIVE s AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+per AS (
+  SELECT source, n, [5.0::DOUBLE, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w,
+         ('0x' || substr(sha256('42:' || CASE WHEN source IS NULL THEN chr(0) || 'null' ELSE chr(1) || source END), 1, 4))::INTEGER / 65536.0::DOUBLE AS u
+  FROM (SELECT source, sum(size)::BIGINT AS n FROM s GROUP BY source)),
+fill AS (
+  SELECT source, n, w, u, false AS stops, 0 AS round, 0.0::DOUBLE AS target FROM per
+  UNION ALL
+  SELECT source, n, w, u, stops OR most < share, round + 1, CASE WHEN stops OR most < share THEN most ELSE share END
+  FROM (SELECT source, n, w, u, stops, round, (3 * n)::DOUBLE AS most,
+               (sum(n) OVER () - sum(CASE WHEN stops THEN 3 * n ELSE 0 END) OVER ())::DOUBLE * w
+               / sum(CASE WHEN stops THEN 0 ELSE w END) OVER () AS share FROM fill)
+  WHERE round <= (SELECT count(*) FROM per)),
+goal AS (
+  SELECT source, n, u, target, CASE WHEN n > 0 THEN least(3.0::DOUBLE, target / n) ELSE 0 END AS rate
+  FROM fill WHERE round = (SELECT max(round) FROM fill)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, doc_id) - 1 AS place FROM s)
+SELECT doc_id, size, n AS source_size, target,
+       ((floor((place + 1) * rate + u) - floor(place * rate + u)) * size)::BIGINT AS taken
+FROM ranked JOIN goal ON ranked.source IS NOT DISTINCT FROM goal.source
+"""

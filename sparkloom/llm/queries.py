@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from .decontaminate import op8_decontamination
+from .decontaminate import OP8_SQL, op8_decontamination
 from .fingerprints import op9_fingerprints
 from .language import op10_language
 from .lm import op3_lm
 from .line_dedup import OP2_SQL, op2_line_dedup
-from .mixing import op7_mixing
+from .mixing import OP7_SQL, op7_mixing
 from .pii import op5_pii
 from .quality import op4_quality
 from .simhash_dedup import op1_simhash
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_fingerprints": op9_fingerprints,
     "op10_language": op10_language,
 }
-ORACLE_SQL = {"op2_line_dedup": OP2_SQL}
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op7_mixing": OP7_SQL, "op8_decontamination": OP8_SQL}

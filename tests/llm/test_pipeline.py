@@ -38,16 +38,25 @@ def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).columns == [*COLUMNS, "copy"]
 
 
-def test_oracle(spark):
-    """Line dedup as the driver compares it, on a small scale factor."""
+def test_oracle(spark, tmp_path):
+    """Line dedup, mixing and decontamination as the driver compares them, on a small scale factor, and on that
+    with null and empty texts, a null and a small source, and items that are short, repeated or without words."""
     import duckdb
 
     from sparkloom.llm.queries import ORACLE_SQL, QUERIES
 
-    sf = "/root/testdata/sf0.001"
-    con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
-    for name, sql in ORACLE_SQL.items():
-        df = QUERIES[name](spark, sf)
-        want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({sql})").fetchall()
-        assert sorted(map(tuple, df.collect())) == sorted(want)
+    sf, odd = "/root/testdata/sf0.001", str(tmp_path)
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    short = items.sort("item_id").first()["text"]
+    more = [(-1, None, "en", None, 0), (-2, "", "en", "tiny", 0), (-3, "x Quizzical\nWORD " + short, None, None, 9), (-4, "one  two", "en", "tiny", 8)]
+    docs.unionByName(spark.createDataFrame(more, docs.schema)).write.parquet(f"{odd}/documents.parquet")
+    few = [("short", "quizzical word"), ("again", short), (None, "!"), ("none", None), ("b,c", "ONE two")]
+    items.selectExpr("string(item_id) AS item_id", "text").unionByName(spark.createDataFrame(few, "item_id string, text string")).write.parquet(f"{odd}/benchmark.parquet")
+    for at, files in ((sf, ""), (odd, "/*.parquet")):
+        con = duckdb.connect()
+        for t in ("documents", "benchmark"):
+            con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet{files}'")
+        for name, sql in ORACLE_SQL.items():
+            df = QUERIES[name](spark, at)
+            want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({sql})").fetchall()
+            assert sorted(map(tuple, df.collect())) == sorted(want), (name, at)
