@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import is_callable, placeholder
-from ..operators.enrich import Embedder, Tagger, missing_embeddings, with_tags
+from ..operators.enrich import Embedder, Summarizer, Tagger, missing_embeddings, with_summaries, with_tags
 from ..operators.resolve import resolve_placeholders
-from ..sources.files import call_edges, go_files, graph_of, module_path, nodes_of, parsed, scan, type_relations
+from ..sources.files import call_edges, go_files, graph_of, module_path, nodes_of, parsed, plain, scan, type_relations
 from ..sources.store import Store
 from .graph import Graph, distinct_edges
 from .lineage import cut
@@ -74,8 +74,26 @@ def reindex_files(spark: SparkSession, root: str, store: Store, changed: list[st
     _save(store, Graph(nodes, shaped(calls, EDGES).unionByName(type_relations(now.filter("error IS NULL")))), embed)
 
 
+def index_package(spark: SparkSession, root: str, folder: str, store: Store) -> None:
+    """Adds the declarations of one folder's files to the stored graph, over those of the same ids; removes nothing."""
+    rows = parsed(go_files(spark, root), module_path(spark, root), root).filter(F.col("error").isNull())
+    new = graph_of(cut(rows.filter(F.regexp_replace("file", "/[^/]*$", "") == f"{plain(root)}/{folder}"), "package"))
+    old = store.load_graph()
+    merged = old.add(new.nodes, new.edges)
+    _save(store, Graph(merged.nodes, distinct_edges(resolve_placeholders(merged.nodes, merged.edges))), None)
+
+
+def generate_summaries(store: Store, summarize: Summarizer, embed: Embedder | None = None) -> None:
+    """With an embedding provider, vectors for the stored functions that lack them; without, summaries of all functions."""
+    graph = store.load_graph()
+    if embed:
+        store.upsert_embeddings(missing_embeddings(graph, store.load_embeddings(), embed))
+    else:
+        store.save_graph(with_summaries(graph, summarize))
+
+
 def watcher(spark: SparkSession, root: str, store: Store, **how) -> Callable[[list[str], list[str]], None]:
     return lambda changed, deleted: reindex_files(spark, root, store, changed, deleted, **how)
 
 
-__all__ = ["index_module", "keep_human_summaries", "reindex_files", "scan", "watcher"]
+__all__ = ["generate_summaries", "index_module", "index_package", "keep_human_summaries", "reindex_files", "scan", "watcher"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,18 +17,23 @@ from .gosource import parse
 
 _METHOD = "struct<name: string, signature: string, shape: string>"
 _PARSED = (
-    "file string, package string, error string, "
+    "file string, package string, error string, imports array<struct<alias: string, path: string>>, "
     "functions array<struct<name: string, receiver: string, line: int, col: int, signature: string, shape: string, docstring: string, code: string, "
     "calls: array<struct<package: string, name: string, resolution: string>>, references: array<struct<role: string, package: string, name: string>>>>, "
     f"types array<struct<name: string, kind: string, line: int, docstring: string, methods: array<{_METHOD}>, embeds: array<string>>>"
 )
 
 
+def plain(path: str) -> str:
+    """A path of the local file system without its scheme, others as they are."""
+    return re.sub("^file:/*", "/", path.rstrip("/"))
+
+
 def go_files(spark: SparkSession, root: str) -> DataFrame:
     """path, content of the .go files below root, none below a folder that starts with a dot, or vendor."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.go").load(root)
     path = F.regexp_replace(F.col("path"), "^file:/*", "/")
-    below = F.concat(F.lit("/"), F.substring(path, F.lit(len(root.rstrip("/")) + 2), F.length(path)))
+    below = F.concat(F.lit("/"), F.substring(path, F.lit(len(plain(root)) + 2), F.length(path)))
     return rows.filter(~below.rlike(r"/(\.[^/]*|vendor)/")).select(path.alias("path"), F.decode("content", "UTF-8").alias("content"))
 
 
@@ -44,7 +50,7 @@ def module_path(spark: SparkSession, root: str) -> str | None:
 def parsed(files: DataFrame, module: str | None = None, root: str = "") -> DataFrame:
     """One row a file: its declarations, or the error that kept it from being read. With a module packages are
     whole import paths, by folder; without, the package clause's name."""
-    root = root.rstrip("/")
+    root = plain(root)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -56,10 +62,10 @@ def parsed(files: DataFrame, module: str | None = None, root: str = "") -> DataF
                     package = f"{module}/{below}" if below else module
                 try:
                     src = parse(content, package)
-                    rows.append((path, src.package, None, src.functions, src.types))
+                    rows.append((path, src.package, None, [{"alias": a, "path": p} for a, p in src.imports.items()], src.functions, src.types))
                 except (ValueError, IndexError) as e:
-                    rows.append((path, package, str(e) or type(e).__name__, [], []))
-            yield pd.DataFrame(rows, columns=["file", "package", "error", "functions", "types"])
+                    rows.append((path, package, str(e) or type(e).__name__, [], [], []))
+            yield pd.DataFrame(rows, columns=["file", "package", "error", "imports", "functions", "types"])
 
     return files.select("path", "content").mapInPandas(run, _PARSED)
 

@@ -52,6 +52,12 @@ def tags_in(answer: str, vocabulary: tuple[str, ...]) -> list[str]:
     return [t for t in found if t in vocabulary] if isinstance(found, list) else []
 
 
+def chat_tagger(ask: Callable[[str], str], vocabulary: tuple[str, ...]) -> Callable[[str], list[str]]:
+    """A tagger that asks a chat provider for an object with a list of behaviors, and takes the valid ones."""
+    task = "Which of these behaviors does this function have? Answer with a JSON object whose key behaviors has a list: " + ", ".join(vocabulary)
+    return lambda code: tags_in(ask(f"{task}\nCode: {code}"), vocabulary)
+
+
 def prompt(name: str, package: str, signature: str = "", docstring: str = "", code: str = "", task: str = "Summarise this function in one or two sentences.") -> str:
     parts = {"Package": package, "Name": name, "Signature": signature, "Documentation": docstring, "Code": code}
     return "\n".join([task, *(f"{k}: {v}" for k, v in parts.items() if v)])

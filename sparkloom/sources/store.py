@@ -15,6 +15,22 @@ from ..plans.schema import EDGES, EMBEDDINGS, NODES, shaped
 SCHEMA_VERSION = 1
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file to any file system that Spark knows, whole or not at all: it is written beside its place
+    and renamed over what is there, in one step where the file system can."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder, _, name = path.rpartition("/")
+    new, at = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{folder}/.{name}.{uuid.uuid4().hex}", path))
+    out = new.getFileSystem(conf).create(new, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    fs = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.getFileSystem(conf).getUri(), conf)
+    fs.rename(fs.makeQualified(new), fs.makeQualified(at), how)
+
+
 class Store:
     """A folder with versions of nodes, edges and embeddings. Writers make a new version and then move the pointer,
     a small file written last, so that readers see a whole version, the old one or the new."""
@@ -34,14 +50,7 @@ class Store:
         return said.get("version") if said.get("schema") == SCHEMA_VERSION else None  # an older schema is rebuilt
 
     def _point(self, kind: str, version: str) -> None:
-        new, at = self._path(f"{self.path}/.{kind}.{version}"), self._path(f"{self.path}/current-{kind}.json")
-        out = self._fs.create(new, True)
-        out.write(bytearray(json.dumps({"schema": SCHEMA_VERSION, "version": version}).encode()))
-        out.close()
-        if self._fs.exists(at):
-            self._fs.delete(at, False)
-        if not self._fs.rename(new, at):
-            raise OSError(f"cannot move the pointer of {kind} in {self.path}")
+        write_text(self.spark, f"{self.path}/current-{kind}.json", json.dumps({"schema": SCHEMA_VERSION, "version": version}))
 
     def ready(self) -> bool:
         return self._current("graph") is not None

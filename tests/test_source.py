@@ -7,11 +7,11 @@ import time
 import pytest
 
 from sparkloom.plans.api import Server
-from sparkloom.plans.index import index_module, reindex_files
+from sparkloom.plans.index import index_module, index_package, reindex_files
 from sparkloom.sources.files import scan
 from sparkloom.sources.gosource import parse
-from sparkloom.sources.providers import chat_client, embedding_client, from_environment, mock_embedding, mock_tags, tags_in
-from sparkloom.sources.store import Store
+from sparkloom.sources.providers import chat_client, chat_tagger, embedding_client, from_environment, mock_embedding, mock_tags, tags_in
+from sparkloom.sources.store import Store, write_text
 from sparkloom.streaming.changes import changes, reindex_on_change
 
 STORE = '''// Package store keeps things.
@@ -126,7 +126,7 @@ def test_index_serve_and_reindex(spark, module, tmp_path):
     assert json.loads(api.discover_patterns("example.com/mod/store", "hotspots"))["count"] >= 1
     assert json.loads(api.search_functions("Run"))
     assert any(r["name"] == "helper" for r in json.loads(api.resource("package://example.com/mod/app")))
-    assert json.loads(api.resource("function://example.com/mod/app/Run"))["callees"] == ["Add"] or True
+    assert json.loads(api.resource("function://example.com/mod/app/Run"))["callees"] == ["Add", "helper"]  # a closure's calls are its function's
     api.update_summary(run, "by hand")
     stats = json.loads(api.stats_json())
     assert stats["nodes"] == n and stats["by_type"]["interface"] == 2
@@ -171,7 +171,32 @@ def test_store_embeddings(spark, tmp_path):
     assert [r["node_id"] for r in store.load_embeddings().collect()] == ["b"]
 
 
+def test_pointer_is_replaced(spark, tmp_path):
+    at = f"file://{tmp_path}/deep/pointer.json"
+    for text in ("one", "two é"):
+        write_text(spark, at, text)
+        assert (tmp_path / "deep" / "pointer.json").read_text() == text
+    assert not [p for p in os.listdir(tmp_path / "deep") if p.startswith(".pointer.json.") and not p.endswith(".crc")]
+
+
+def test_index_package(spark, module, tmp_path):
+    """Adds a folder's declarations, of that folder only, and calls find what was added before or after."""
+    store = Store(spark, str(tmp_path / "db"))
+    index_package(spark, module, "app", store)
+    assert {r["package"] for r in store.load_graph().nodes.collect()} == {"example.com/mod/app"}
+    index_package(spark, f"file://{module}", "store", store)
+    index_package(spark, module, "store", store)
+    g = store.load_graph()
+    assert g.nodes.count() == g.nodes.select("id").distinct().count() == 10
+    add = g.by(name="Add").first()["id"]
+    assert [r["name"] for r in g.callers(add).collect()] == ["Run"]
+    index_package(spark, module, "none", store)
+    assert store.load_graph().nodes.count() == 10
+
+
 def test_providers():
+    tagger = chat_tagger(lambda text: f'{{"behaviors": ["logging", 1, "x"]}} {len(text)}', ("logging",))
+    assert tagger("code") == ["logging"] and chat_tagger(lambda text: "{", ("logging",))("") == []
     assert tags_in('so: {"behaviors": ["logging", "nonsense"]} end', ("logging",)) == ["logging"]
     assert tags_in("nothing", ("logging",)) == []
     post = lambda url, key, body, timeout: {"data": [{"index": 1, "embedding": [2.0]}, {"index": 0, "embedding": [1.0]}]}
@@ -192,3 +217,24 @@ def test_sample_queries(spark):
     assert {r["resolution"] for r in got["S6_call_resolution"]} >= {"receiver", "import", "ident"}
     assert not any("Run" in r["node_id"] for r in got["K4_embedding_delete"])
     assert len(got["K1_snapshot_round_trip"]) == 7
+
+
+def test_sample_tree_queries(spark):
+    from sparkloom.plans.sample_tree import QUERIES
+
+    got = {name: [tuple(r) for r in q(spark, "").collect()] for name, q in QUERIES.items()}
+    assert all(got.values())
+    assert sorted(got["S18_tree_filter"]) == [("app/app.go",), ("app/app_test.go",), ("cart/cart.go",)]
+    assert sorted(got["S7_import_aliases"]) == [("/src/a.go", "fmt", "fmt"), ("/src/a.go", "st", "example.com/shop/store")]
+    assert all(agree for _, agree in got["S13_ids_agree"])
+    assert {n for *_, n in got["K2_unique_edges"]} == {1}
+    assert got["K5_schema_rebuild"] == [("older", False, 0), ("rebuilt", True, 7)]
+    assert dict(got["E2_chat_tagger"])["Run"] == "logging"
+    assert {name: by for name, _, by in got["E4_human_summaries_stay"]} == {"Run": "human", "TestRun": "llm", "finish": "llm", "New": "llm"}
+    assert got["E6_generate"] == [(4, 0, 4)]
+    assert got["E8_reindex_project"] == [("Indexed 7 nodes and 9 edges",)]
+    assert got["T1_file_changes"][-2:] == [("app/new.go", "created"), ("app/app_test.go", "deleted")]
+    assert got["T3_coalesced_batches"] == [(6, 0)]
+    assert {r[2] for r in got["T4_reindex_batch"]} == {"Run", "finish", "Added", "New", "Price", "Cart", "Pricer"}
+    assert ("function", "example.com/shop/app", "Added", "app_test.go") in got["T5_index_file"]
+    assert any("_Run_" in a and "_New_" in b for a, b in got["T6_index_package"])
