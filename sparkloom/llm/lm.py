@@ -13,6 +13,7 @@ from __future__ import annotations
 import gc
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 from itertools import count
 
 import numpy as np
@@ -30,7 +31,8 @@ START, END = 0, 1  # hashes of what comes before a text's first word, and after
 HOT_SHARE = 300  # a context of more than a 300th of all tokens is dealt to all buckets: there are at most 300
 DISCOUNT, STRENGTH = 0.85, 1.0  # of contexts' restaurants
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 1.0  # of the parent, whose base is uniform over words seen and one unseen
-SAMPLES, BURN_IN, MOVES = 2, 2, 4
+SAMPLES, BURN_IN, SETTLE = 2, 2, 30
+EXACT, NODES, POINTS = 1024, 97, 17  # exact weights of up to so many customers; points of an integral; of a curve
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -125,49 +127,140 @@ class Pairs:
         return np.flatnonzero(np.r_[True, np.diff(self.context[rows]) != 0])
 
 
+@cache
+def _stirling(discount: float) -> np.ndarray:
+    """log S(c, t) for 1 <= t <= c <= EXACT, rows one after the other: S counts ways to seat c customers at t
+    tables, each weighted by its tables' sizes, S(c + 1, t) = S(c, t - 1) + (c - discount * t) * S(c, t)."""
+    rows, t = [np.zeros(1)], np.arange(1, EXACT + 1)
+    for c in range(1, EXACT):
+        stay = rows[-1] + np.log(c - discount * t[:c])
+        rows.append(np.r_[stay[0], np.logaddexp(rows[-1][:-1], stay[1:]), 0.0])
+    return np.concatenate(rows)
+
+
+def log_factorial(t: np.ndarray) -> np.ndarray:
+    """log(t!), by the series for t + 9, to 14 digits."""
+    x = t + 9.0
+    series = (x - 0.5) * np.log(x) - x + np.log(2 * np.pi) / 2 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    return series - sum(np.log(t + k) for k in range(1, 9))
+
+
+def log_stirling(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
+    """log(S(c, t) * t! / c!) for large c, t of one or more, not only whole: the coefficient of z^c in phi(z)^t,
+    phi(z) = (1 - (1 - z)^discount) / discount, as an integral over s, z = exp(-s / c), along a parabola through
+    the saddle; a sum over NODES points of it."""
+    low, high = np.full(c.shape, -60.0), np.full(c.shape, np.log(60.0))  # of log(s / c)
+    for _ in range(50):
+        mid = (low + high) / 2
+        gone = -np.expm1(-np.exp(mid))
+        more = t * np.exp(-np.exp(mid)) * gone ** (discount - 1) * discount > c * -np.expm1(discount * np.log(gone))
+        low, high = np.where(more, mid, low), np.where(more, high, mid)
+    peak = np.maximum(2.0, c * np.exp(low))
+    y = np.linspace(-7.0, 7.0, NODES)
+    u = y / np.sqrt(1 + 2 * discount * (1 - discount) * peak)[..., None]
+    s = peak[..., None] * (1 + 1j * u) ** 2
+    f = s + t[..., None] * (np.log1p(-((-np.expm1(-s / c[..., None])) ** discount)) - np.log(discount))
+    top = f.real.max(axis=-1)
+    area = (np.exp(f - top[..., None]) * (1 + 1j * u)).real.sum(axis=-1) * (y[1] - y[0]) * (u[..., -1] / y[-1])
+    return top + np.log(np.maximum(area, 1e-300) * peak / (np.pi * c))
+
+
+class Dishes:
+    """Numbers of tables t of dishes with c customers each, in proportion to x^t * S(c, t): all t of those of up to
+    EXACT customers, of others the t around the most likely one (10 deviations and more)."""
+
+    def __init__(self, c: np.ndarray, discount: float):
+        self.c, self.discount = c, discount
+        self.small, self.large = np.flatnonzero(c <= EXACT), np.flatnonzero(c > EXACT)
+        n = c[self.small]
+        self.ends = np.cumsum(n)
+        self.first = self.ends - n
+        self.t = np.arange(n.sum()) - np.repeat(self.first, n) + 1
+        self.log = _stirling(discount)[np.repeat(n * (n - 1) // 2, n) + self.t - 1]
+
+    def _small(self, x: np.ndarray) -> np.ndarray:
+        n, log = self.c[self.small], self.log + self.t * np.repeat(np.log(x[self.small]), self.c[self.small])
+        return np.exp(log - np.repeat(np.maximum.reduceat(log, self.first), n))
+
+    def _large(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of each large dish its place, the t and their weights: logs at Chebyshev points, between them the polynomial."""
+        for lo in range(0, len(self.large), 256):
+            at = self.large[lo : lo + 256]
+            c, x_ = self.c[at].astype(float), x[at]
+            low, high = np.full(len(at), -60.0), np.zeros(len(at))  # of log(1 - z), z the saddle of exp(x * phi(z)) / z^c
+            for _ in range(50):
+                mid = (low + high) / 2
+                more = np.log(x_) + np.log1p(-np.minimum(np.exp(mid), 1 - 1e-16)) + (self.discount - 1) * mid > np.log(c)
+                low, high = np.where(more, mid, low), np.where(more, high, mid)
+            likely = np.clip(x_ * -np.expm1(self.discount * low) / self.discount, 1, c)
+            wide = 10 * np.sqrt(likely) + 20
+            a, b = np.maximum(1, np.floor(likely - wide)), np.minimum(c, np.ceil(likely + wide))
+            nodes = np.cos(np.pi * (np.arange(POINTS) + 0.5) / POINTS)
+            where = (a + b)[:, None] / 2 + (b - a)[:, None] / 2 * nodes
+            values = log_stirling(np.broadcast_to(c[:, None], where.shape), where, self.discount)
+            shape = np.polynomial.chebyshev.chebvander(nodes, POINTS - 1)
+            curves = np.linalg.solve(shape, values.T)
+            for k, i in enumerate(at):
+                t = np.arange(a[k], b[k] + 1)
+                place = (2 * t - a[k] - b[k]) / max(1.0, b[k] - a[k])
+                log = np.polynomial.chebyshev.chebval(place, curves[:, k]) + t * np.log(x_[k]) - log_factorial(t)
+                yield i, t, np.exp(log - log.max())
+
+    def moments(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mean, var = np.zeros(len(x)), np.zeros(len(x))
+        if len(self.small):
+            w = self._small(x)
+            add = lambda v: np.add.reduceat(v, self.first)
+            total = add(w)
+            mean[self.small] = add(w * self.t) / total
+            var[self.small] = add(w * (self.t - np.repeat(mean[self.small], self.c[self.small])) ** 2) / total
+        for i, t, w in self._large(x):
+            mean[i] = (w * t).sum() / w.sum()
+            var[i] = (w * (t - mean[i]) ** 2).sum() / w.sum()
+        return mean, var
+
+    def draw(self, x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        out = np.ones(len(x), dtype=np.int64)
+        if len(self.small):
+            sums = np.cumsum(self._small(x))
+            low = np.r_[0.0, sums][self.first]
+            at = np.searchsorted(sums, low + (sums[self.ends - 1] - low) * rng.random(len(self.small)), side="right")
+            out[self.small] = self.t[np.clip(at, self.first, self.ends - 1)]
+        for i, t, w in self._large(x):
+            sums = np.cumsum(w)
+            out[i] = t[min(len(t) - 1, np.searchsorted(sums, sums[-1] * rng.random(), side="right"))]
+        return out
+
+
 def seat(c: np.ndarray, context: np.ndarray, base: np.ndarray, alone: np.ndarray, wings: np.ndarray, discount: float, strength: float, seed: int) -> list[np.ndarray]:
     """Samples of the number of tables of each dish: c its customers (2 or more), context its restaurant, base its
     probability in the parent, alone the tables of each restaurant's other dishes, wings by how much a
     restaurant's tables here are to be multiplied.
 
-    Gibbs moves: of each dish a customer, drawn evenly, gets up, and sits down at a table in proportion to its
-    customers less the discount, or at a new one in proportion to (strength + discount * tables) * base.
-    The dishes move at once, by the tables of the move before; a sweep is MOVES such moves of each dish."""
+    Blocked Gibbs: given v, drawn from a gamma distribution of shape strength / discount + the restaurant's tables,
+    dishes are independent, and t tables of a dish are in proportion to (v * discount * base)^t * S(c, t). So a
+    sweep seats all customers anew, however many. Sweeps start where v is what its tables let expect, found by
+    Newton's steps until the tables' totals settle."""
     rng = np.random.default_rng(seed)
-    n = len(c)
-    if not n:
+    if not len(c):
         return [np.zeros(0, dtype=np.int64) for _ in range(SAMPLES)]
-    size_of = lambda t: alone + np.bincount(context, weights=t, minlength=len(alone))
-    pull = lambda t: (strength + discount * (size_of(t) * wings)[context]) * base
-    a = pull(np.ones(n))
-    tables = np.minimum(c, 1 + np.floor(a * np.log1p((c - 1) / (a + 1 - discount)))).astype(np.int64)
-    room = np.minimum(c, tables + MOVES * (BURN_IN + SAMPLES) + 1)
-    first = np.cumsum(room) - room
-    filled = np.arange(room.sum()) - np.repeat(first, room)
-    people = np.where(filled < np.repeat(tables, room), np.repeat(c // tables, room), 0)
-    people[first] += c - (c // tables) * tables
+    dishes, some = Dishes(c, discount), np.bincount(context, minlength=len(alone)) > 0
+    total = lambda t: np.bincount(context, weights=t, minlength=len(alone))
+    shape = lambda t: strength / discount + (alone + total(t)) * wings
+    v = shape(np.ones(len(c)))
+    for _ in range(SETTLE):
+        mean, var = dishes.moments(v[context] * discount * base)
+        now = shape(mean)
+        step = np.log(now / v) / np.maximum(1 - total(var) * wings / now, 0.02)
+        v *= np.exp(np.where(some, np.clip(step, -2, 2), 0))
+        if np.abs(step[some]).max() < 0.01:
+            break
     out = []
     for sweep in range(BURN_IN + SAMPLES):
-        for _ in range(MOVES):
-            ends = np.cumsum(people)
-            leave = np.searchsorted(ends, ends[first] - people[first] + rng.integers(0, c), side="right")
-            people[leave] -= 1
-            tables -= people[leave] == 0
-            a = pull(tables)
-            fresh = rng.random(n) * (a + c - 1 - discount * tables) < a
-            weight = np.cumsum(np.maximum(people - discount, 0.0))
-            low = weight[first] - np.maximum(people[first] - discount, 0.0)
-            high = weight[first + room - 1]
-            old = np.searchsorted(weight, low + (high - low) * rng.random(n) * (1 - 1e-12), side="right")
-            old = np.clip(old, first, first + room - 1)
-            fresh |= people[old] == 0
-            free = np.cumsum(people == 0)
-            at = np.searchsorted(free, free[first] - (people[first] == 0) + 1, side="left")
-            fresh &= (at < first + room) & (tables < room)
-            people[np.where(fresh, np.minimum(at, len(people) - 1), old)] += 1
-            tables += fresh
+        tables = dishes.draw(v[context] * discount * base, rng)
+        v = rng.gamma(shape(tables))
         if sweep >= BURN_IN:
-            out.append(tables.copy())
+            out.append(tables)
     return out
 
 
