@@ -74,11 +74,13 @@ def _basis(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.hstack([z, z * z])
 
 
-def rank(x: np.ndarray, y: np.ndarray, pairs: int = 100_000, penalty: float = 1e-3, seed: int = 42) -> Ranking:
+def rank(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None, pairs: int = 100_000, penalty: float = 1e-3, seed: int = 42) -> Ranking:
     """Learns from features x and labels y (1 is preferred to 0): pairs of one row of each label, drawn by seed;
     logistic loss on the difference of their features, by Newton's steps. The cut is the raw scores' quantile
-    at the share of label 0, and the slope fits the labels best. With one label only, or none, all
+    at the share of label 0, and the slope fits the labels best, both with rows counted by their weights (how many
+    rows each stands for; one if not given). With one label only, or none, all
     documents score alike: the share of label 1, or a half."""
+    weights = np.ones(len(y)) if weights is None else weights
     if not len(y) or y.min() == y.max():
         p = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
         width = x.shape[1] if x.size else FEATURES
@@ -100,11 +102,14 @@ def rank(x: np.ndarray, y: np.ndarray, pairs: int = 100_000, penalty: float = 1e
         if np.abs(step).max() < 1e-6:
             break
     raw = z @ w
-    cut = float(np.quantile(raw, (y == 0).mean()))
+    order = np.argsort(raw, kind="stable")
+    upto = np.cumsum(weights[order])
+    places = (upto - weights[order]) / max(1e-12, upto[-1] - weights[order][-1])
+    cut = float(np.interp(weights[y == 0].sum() / weights.sum(), places, raw[order]))
     shift, best = np.log(CUT / (1 - CUT)), (np.inf, 1.0)
     for slope in np.geomspace(0.05, 20, 60):
         t = np.clip(slope * (raw - cut) + shift, -500, 500)
-        best = min(best, (float(np.mean(np.logaddexp(0, t) - y * t)), float(slope)))
+        best = min(best, (float(np.average(np.logaddexp(0, t) - y * t, weights=weights)), float(slope)))
     return Ranking(mean, scale, w, cut, best[1])
 
 
@@ -123,7 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, **how) -> Ra
     """A ranking learned from the rows of labels (doc_id, quality 0 or 1; others are ignored, and several
     rows of an id count as their greatest) that docs has texts for: from about `sample` of these rows, those
     of the lowest hash of the id, at most half of them of one label if there are enough. The bound is on
-    what is learned from; the share of each label, by which the cut is set, is of all of them."""
+    what is learned from; sampled rows are weighted by their label's sampling rate, so that the share of each label,
+    by which the cut is set, and the slope are as of all of them."""
     spark = docs.sparkSession
     bounded_batches(spark)
     marks = (
@@ -133,15 +139,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, **how) -> Ra
         .agg(F.max("y").alias("y"))
     )
     counts = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
+    rates = {y: min(1.0, sample / n * max(0.5, n / sum(counts.values()))) for y, n in counts.items()}
     share = F.lit(0.0)
-    for y, n in counts.items():
-        share = F.when(F.col("y") == y, min(1.0, sample / n * max(0.5, n / sum(counts.values())))).otherwise(share)
+    for y, rate in rates.items():
+        share = F.when(F.col("y") == y, rate).otherwise(share)
     chance = F.pmod(F.xxhash64(F.lit("quality"), F.col("id")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     some = marks.filter(chance < share)
     rows = texts(docs).join(F.broadcast(some), F.col("doc_id") == F.col("id"))
     found = _featured(rows.select(F.col("text").cast("binary").alias("text"), "y", "id")).toPandas().sort_values("id", kind="stable")
     x = np.array(found["x"].tolist(), dtype=float).reshape(len(found), FEATURES)
-    return rank(x, found["y"].to_numpy(dtype=int), **how)
+    y = found["y"].to_numpy(dtype=int)
+    return rank(x, y, np.array([1 / rates[k] for k in y.tolist()]), **how)
 
 
 def judge(docs: DataFrame, ranking: Ranking) -> DataFrame:

@@ -412,6 +412,17 @@ def test_quality(spark, sf, docs, empty):
     assert quality.judge(empty, none).count() == 0
 
 
+def test_quality_cut_is_at_the_share_of_all_labels(spark):
+    """Labels of which a sample holds many more zeros than there are, and that texts tell apart badly."""
+    draw = np.random.default_rng(4)
+    y = (draw.random(3000) >= 0.14).astype(int)
+    some = [(k, "word " * 30 + "! " * int(n)) for k, n in enumerate(draw.poisson(np.where(y == 1, 3, 5)))]
+    all_ = spark.createDataFrame(some, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(v)) for k, v in enumerate(y)], "doc_id long, quality int")
+    found = quality.judge(all_, quality.train(all_, labels, sample=400)).collect()
+    assert abs(np.mean([r["predicted"] == 0 for r in found]) - 0.14) < 0.07
+
+
 def test_ranking_learns_pairs():
     draw = np.random.default_rng(0)
     x = draw.normal(size=(400, 3))
