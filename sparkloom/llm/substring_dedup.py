@@ -1,10 +1,15 @@
-"""Substring dedup by hashing of lines and of their sentences: the first occurrence stays."""
+"""Substring dedup by hashing of lines, of their sentences, and of all windows of 50 words: the first occurrence stays.
+
+Of each window the least hash of its runs of 25 words is its anchor, the same wherever the window is. Only windows whose
+anchor occurs again, by a bitmap of anchors, are compared, so few move; all that repeat are among them."""
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +18,9 @@ from pyspark.sql import functions as F
 from ._shared import bounded_batches, cut, table, texts
 
 MIN_WORDS = 8
+WINDOW, GRAM = 50, 25  # words of a window, and of the runs in it one of which is its anchor
+MAP_BITS, BLOCK_BITS = 27, 16  # anchors' bitmap, and its blocks
+_BASE = 0x9E3779B97F4A7C15
 _NO_ID = 2**63 - 1
 _LINE = re.compile(r"[^\n]+")
 _SENTENCE = re.compile(r"\S(?:[^.!?]|[.!?]+(?!\s|\Z))*[.!?]*")
@@ -34,6 +42,115 @@ def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, str
                     yield line.start() + part.start(), line.start() + part.end(), " ".join(words)
 
 
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+def windows(text: str, known: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The anchor and the hash of each WINDOW consecutive lower-cased words of a text, wherever its lines end."""
+    words = text.lower().split()
+    n = len(words)
+    if n < WINDOW:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=n)
+    power = np.cumprod(np.full(n, _BASE, dtype=np.uint64))
+    back = np.cumprod(np.full(n, pow(_BASE, -1, 1 << 64), dtype=np.uint64))
+    sums = np.r_[np.uint64(0), np.cumsum(h * power)]
+    least = _mixed((sums[GRAM:] - sums[:-GRAM]) * back[: n - GRAM + 1])
+    have, wanted = 1, WINDOW - GRAM + 1
+    while have < wanted:
+        step = min(have, wanted - have)
+        least = np.minimum(least[:-step], least[step:])
+        have += step
+    return least, _mixed((sums[WINDOW:] - sums[:-WINDOW]) * back[: n - WINDOW + 1])
+
+
+def _runs(anchors: np.ndarray) -> np.ndarray:
+    """Where runs of windows of the same anchor start."""
+    return np.flatnonzero(np.r_[True, anchors[1:] != anchors[:-1]])
+
+
+def repeated_windows(base: DataFrame, runs_per_bucket: int = 50_000) -> DataFrame:
+    """did, tid, start, end (in words): windows that occurred before, by did and place, joined where they follow
+    each other. In the same text, only those that don't overlap the first occurrence, which so stays whole."""
+    spark = base.sparkSession
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known, found = _Hashes(), [np.zeros(0, dtype=np.uint64)]
+            for text in batch.column(0).to_pylist():
+                anchors, hashes = windows(text, known)
+                if len(anchors):
+                    found.append(anchors[_runs(anchors)])
+                    _, first = np.unique(hashes, return_index=True)
+                    if len(first) < len(hashes):
+                        found.append(np.delete(anchors, first))
+            h, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    def block(key, rows):
+        bits = np.zeros(1 << BLOCK_BITS, dtype=bool)
+        bits[rows["h"].to_numpy().view(np.uint64) >> np.uint64(64 - MAP_BITS) & np.uint64((1 << BLOCK_BITS) - 1)] = True
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary()), "n": pa.array([int(rows["n"].to_numpy().sum())], pa.int64())})
+
+    again = base.select("text").mapInArrow(mark, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
+    blocks = again.withColumn("block", F.shiftrightunsigned("h", 64 - MAP_BITS + BLOCK_BITS)).groupBy("block")
+    bitmap, total = np.zeros((1 << (MAP_BITS - BLOCK_BITS), (1 << BLOCK_BITS) // 8), dtype=np.uint8), 0
+    for row in blocks.applyInArrow(block, "block long, bits binary, n long").collect():
+        bitmap[row["block"]] = np.frombuffer(zlib.decompress(row["bits"]), dtype=np.uint8)
+        total += row["n"]
+    held, buckets = spark.sparkContext.broadcast(bitmap.reshape(-1)), max(8, total // runs_per_bucket)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
+        for batch in batches:
+            known, out = _Hashes(), []
+            for did, tid, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                anchors, hashes = windows(text, known)
+                if not len(anchors):
+                    continue
+                starts = _runs(anchors)
+                place = anchors[starts] >> np.uint64(64 - MAP_BITS)
+                hit = bits[place >> np.uint64(3)] >> (np.uint8(7) - (place & np.uint64(7)).astype(np.uint8)) & 1
+                ends = np.r_[starts[1:], len(anchors)]
+                short = hashes.astype(np.uint32)
+                for k in np.flatnonzero(hit).tolist():
+                    h = int(anchors[starts[k]])
+                    out.append((h % buckets, h - (1 << 64) if h >> 63 else h, did, tid, int(starts[k]), short[starts[k] : ends[k]].tobytes()))
+            columns = list(zip(*out, strict=True)) if out else [()] * 6
+            arrays = [pa.array(c, pa.int64()) for c in columns[:4]] + [pa.array(columns[4], pa.int32()), pa.array(columns[5], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "h", "did", "tid", "at", "hashes"])
+
+    def later(key, rows):
+        data = rows["hashes"].to_pylist()
+        n = np.fromiter((len(d) // 4 for d in data), dtype=np.int64, count=len(data))
+        h, did, tid = (np.repeat(rows[c].to_numpy(), n) for c in ("h", "did", "tid"))
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - rows["at"].to_numpy(), n)
+        short = np.frombuffer(b"".join(data), dtype=np.uint32)
+        order = np.lexsort((tid, at, did, short, h))
+        h, short, did, tid, at = (x[order] for x in (h, short, did, tid, at))
+        new = np.r_[True, (h[1:] != h[:-1]) | (short[1:] != short[:-1])]
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        gone = (did != did[first]) | (tid != tid[first]) | (at >= at[first] + WINDOW)
+        did, tid, at = did[gone], tid[gone], at[gone]
+        order = np.lexsort((at, tid, did))
+        did, tid, at = did[order], tid[order], at[order]
+        new = np.flatnonzero(np.r_[True, (did[1:] != did[:-1]) | (tid[1:] != tid[:-1]) | (at[1:] > at[:-1] + 1)][: len(at)])
+        last = np.r_[new[1:], len(at)][: len(new)] - 1
+        return pa.table({"did": did[new], "tid": tid[new], "start": pa.array(at[new], pa.int32()), "end": pa.array(at[last] + WINDOW, pa.int32())})
+
+    sent = base.select("did", "tid", "text").mapInArrow(send, "bucket long, h long, did long, tid long, at int, hashes binary")
+    return sent.groupBy("bucket").applyInArrow(later, "did long, tid long, start int, end int")
+
+
 def remove(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
     """The text without the spans, and these, sorted and joined where they touch. A span that takes what is
     left of its line takes the newline after it as well (the last line's the one before)."""
@@ -61,7 +178,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text (what stays), removed (array of start and end in the original's code points); one row per
     row of docs.
 
-    Of each unit (see units), occurrences are ranked by doc_id, then offset; the first stays and the others are
+    Of each unit (see units) and window of WINDOW words (see repeated_windows), occurrences are ranked by doc_id, then offset; the first stays and the others are
     removed, in the same document as in others. A unit's digest has 128 bits; digests are counted with
     partial sums, and the table of those that occur again is cut, so that the join which marks occurrences
     is one that adaptive execution splits. A text moves once, to meet its spans.
@@ -96,15 +213,21 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     spans = (
         found.join(again, ["k1", "k2"])
         .filter("did <> first_did OR start <> first_start")
+        .select("did", "tid", "start", "end", F.lit(False).alias("words"))
+        .unionByName(repeated_windows(base).withColumn("words", F.lit(True)))
         .groupBy("did", "tid")
-        .agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+        .agg(F.collect_set(F.struct("start", "end", "words")).alias("spans"))
     )
     ready = base.join(spans, ["did", "tid"], "left").select("doc_id", "text", "spans")
 
+    def places(text: str, spans: list | None) -> list[tuple[int, int]]:
+        words = [w.span() for w in re.finditer(r"\S+", text)] if any(s["words"] for s in spans or []) else []
+        return [(words[s["start"]][0], words[s["end"] - 1][1]) if s["words"] else (s["start"], s["end"]) for s in spans or []]
+
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
         for batch in batches:
-            out = [remove(t, [(s["start"], s["end"]) for s in spans or []]) for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            out = [remove(t, places(t, spans)) for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             gone = [[{"start": a, "end": b} for a, b in spans] for _, spans in out]
             columns = [batch.column(0), pa.array([t for t, _ in out], pa.string()), pa.array(gone, pa.list_(span))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "removed"])

@@ -343,6 +343,31 @@ def test_substring_dedup(docs, empty, spark):
     assert passage in out[1] and "w30" not in out[2] and "Quite another." in out[2] and out[2].endswith("more")
 
 
+def test_substring_dedup_takes_every_repeated_window(spark):
+    """Passages of 50 words inside lines and across them, and all windows of texts of pieces that recur."""
+    passage = [f"w{k}" for k in range(50)]
+    flat = " ".join(passage)
+    texts = {1: f"aa bb {flat} cc", 2: f"dd ee {flat.upper()} ff gg", 3: f"hh {' '.join(passage[:7])}\n{' '.join(passage[7:])} ii", 4: f"jj {' '.join(passage[1:])} kk", 5: "z y x " * 60}
+    draw = np.random.default_rng(6)
+    pieces = [" ".join(f"v{x}" for x in draw.integers(0, 5000, n)) for n in draw.integers(5, 90, 40)]
+    texts |= {k: " ".join(pieces[i] for i in draw.integers(0, 40, 6)) for k in range(10, 60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in substring_dedup.substring_dedup(df).collect()}
+    assert out[1]["text"] == texts[1] and out[4]["text"] == texts[4]
+    assert out[2]["text"].split() == ["dd", "ee", "ff", "gg"] and out[3]["text"].split() == ["hh", "ii"]
+    assert 50 <= len(out[5]["text"].split()) <= 53
+    first = {}
+    for i, t in sorted(texts.items()):
+        words = [(m.group().lower(), *m.span()) for m in re.finditer(r"\S+", t)]
+        want = set()
+        for k in range(len(words) - 49):
+            d, p = first.setdefault(tuple(w for w, _, _ in words[k : k + 50]), (i, k))
+            if d != i or k >= p + 50:
+                want |= set(range(k, k + 50))
+        gone = {k for k, (_, a, b) in enumerate(words) if any(s["start"] <= a and b <= s["end"] for s in out[i]["removed"])}
+        assert gone == want
+
+
 def test_pii(spark, docs, empty):
     text = "Mail a.bee9@mail7.example.com or A.BEE9@MAIL7.EXAMPLE.COM, +1 (212) 555-7713, 10.2.3.4, 4111111111111111 or 4111 1111 1111 1111. Mrs. Anna Smith and Smith's John Smith."
     hidden = ["a.bee9", "555-7713", "10.2.3.4", "4111", "Anna", "Smith and"]
