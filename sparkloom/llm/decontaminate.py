@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import LOWER, UPPER, bounded_batches, table, texts
+from ._shared import LOWER, UPPER, small, table, texts
 
 WINDOW = 10
 #: A-Z lower-cased; bytes that are not part of a word become spaces. A word is [^\x00-\x2F\x3A-\x60\x7B-\x7F]+.
@@ -127,7 +127,6 @@ def annotate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_byte
     tables give no rows, or no matches.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     items = items.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("binary").alias("text")
     ).filter("text IS NOT NULL")
@@ -149,7 +148,7 @@ def annotate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_byte
 def _step(index, raw: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = index.value.names
-        for batch in batches:
+        for batch in small(batches):
             at = batch.schema.get_field_index(name)
             before = batch.column(at).to_pylist()
             counts, found = longest_matches(batch.column(batch.schema.get_field_index(raw)).to_pylist(), index.value)

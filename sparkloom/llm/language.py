@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, remainder, table
+from ._shared import remainder, small, table
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -81,7 +81,6 @@ def train(docs: DataFrame, sample_per_language: int = 2000, max_languages: int =
     so that at most BUCKETS rows a language reach the driver, and the matrix that is broadcast has
     4 * BUCKETS bytes a language; more than max_languages languages raise ValueError."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col("lang").cast("string").alias("lang")
     ).filter("text IS NOT NULL AND lang IS NOT NULL")
@@ -95,7 +94,7 @@ def train(docs: DataFrame, sample_per_language: int = 2000, max_languages: int =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in small(batches):
             langs = batch.column(0).to_pylist()
             for buckets, which, starts in grams(batch.column(1).to_pylist()):
                 for doc, part in zip(which, np.split(buckets, starts[1:]), strict=True):
@@ -120,13 +119,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     broadcast, and each batch's texts are scored as sparse rows of n-gram counts times that matrix; nothing
     is shuffled. Whole texts count, however long."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     held = spark.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     ready = docs.select(*kept, F.lit(None).cast("string").alias("lang_pred"), F.lit(None).cast("double").alias("score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             names, odds = predict(held.value, batch.column(batch.schema.get_field_index("text")).to_pylist())
             columns = [*batch.columns[:-2], pa.array(names, pa.string()), pa.array(odds, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)

@@ -2,18 +2,23 @@
 a parent; seating sampled by Gibbs, and predictive probabilities averaged over samples.
 
 Documents are read in chunks of bounded size, each of which is one row of arrays. Words are 52-bit hashes. A
-chunk counts its own pairs of words and sends each bucket of contexts what it has for it, as one array; a
-bucket adds up what it gets, seats its restaurants, and sends each chunk the counts it asked for, and each bucket
-of words the tables that its restaurants order from the parent. So all pairs are counted, but what moves
-is some bytes a distinct pair and chunk. Words that are a large share of all contexts have their
-restaurants dealt to all buckets, by the next word; their totals, few by construction, are added up apart."""
+chunk counts its own pairs of words and sends each bucket of contexts what it has for it, as one array; a bucket
+adds up what it gets. So all pairs are counted, but what moves is some bytes a distinct pair and chunk.
+
+A sweep seats every customer of every restaurant anew, in two steps over tables: the buckets of contexts, given the
+parent's word probabilities, then the buckets of words, which are the parent, given the tables that all restaurants order
+from it. Probabilities of the parent are drawn from its posterior, so children and parent are
+seated in turn, each given the other. Random numbers depend on the restaurant, the dish and the sweep only,
+and what is one restaurant's is summed up before it is used, also where the restaurant is dealt to all buckets (by
+the next word), as are those of words that are a large share of all contexts: so scores depend neither on the number of buckets
+nor on the order of rows."""
 
 from __future__ import annotations
 
 import gc
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from itertools import count
 
 import numpy as np
@@ -24,14 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, cut, remainder, table, texts
+from ._shared import cut, discard, remainder, small, table, texts
 
 BITS = 52
 START, END = 0, 1  # hashes of what comes before a text's first word, and after its last
 HOT_SHARE = 300  # a context of more than a 300th of all tokens is dealt to all buckets: there are at most 300
 DISCOUNT, STRENGTH = 0.85, 1.0  # of contexts' restaurants
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 1.0  # of the parent, whose base is uniform over words seen and one unseen
-SAMPLES, BURN_IN, SETTLE = 2, 2, 30
+SAMPLES, BURN_IN, SETTLE = 2, 3, 30  # sweeps that count; sweeps before them; steps to a first value of v
 EXACT, NODES, POINTS = 1024, 97, 17  # exact weights of up to so many customers; points of an integral; of a curve
 
 
@@ -48,7 +53,7 @@ def unpack(data: bytes) -> list[np.ndarray]:
     raw = np.frombuffer(zstandard.decompress(data), dtype=np.uint8)
     n = int(raw[:8].view(np.int64)[0])
     head, at, out = raw[8 : 8 + 16 * n].view(np.int64), 8 + 16 * n, []
-    kinds = {np.dtype(t).num: np.dtype(t) for t in (np.bool_, np.int32, np.uint32, np.int64, np.uint64, np.float32)}
+    kinds = {np.dtype(t).num: np.dtype(t) for t in (np.bool_, np.int32, np.uint32, np.int64, np.uint64, np.float32, np.float64)}
     for i in range(n):
         kind, size = kinds[int(head[2 * i])], int(head[2 * i + 1])
         part = raw[at : at + size * kind.itemsize].reshape(kind.itemsize, size)
@@ -62,42 +67,72 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def uniform(keys: np.ndarray, n: int) -> np.ndarray:
+    """The n-th random number of each key, between 0 and 1."""
+    step = np.uint64((n + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    return ((mixed(keys + step) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def gamma(shape: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """A number from the gamma distribution of each shape, which its key determines; by rejection, from normal
+    numbers (Marsaglia and Tsang)."""
+    a = np.where(shape < 1, shape + 1, shape) - 1 / 3
+    out, left = np.zeros(len(a)), np.arange(len(a))
+    for n in count(1, 3):
+        if not len(left):
+            break
+        k = keys[left]
+        z = np.sqrt(-2 * np.log(uniform(k, n))) * np.cos(2 * np.pi * uniform(k, n + 1))
+        v = np.maximum(1 + z / np.sqrt(9 * a[left]), 0) ** 3
+        taken = np.log(uniform(k, n + 2)) < z * z / 2 + a[left] * (1 - v + np.log(np.maximum(v, 1e-300)))
+        out[left[taken]] = a[left[taken]] * v[taken]
+        left = left[~taken]
+    return out * np.where(shape < 1, uniform(keys, 0) ** (1 / np.minimum(shape, 1)), 1.0)
+
+
 def tokenized(docs: DataFrame, chunk_bytes: int = 8 << 20) -> DataFrame:
     """chunk, data: the documents of docs (id, train, text as bytes) in chunks of about chunk_bytes of text,
-    none of which spans tasks; data has ids, whether to learn from each, tokens in each, the tokens (words and
+    none of which spans tasks; data has ids (0 if null), whether each is not null, whether to learn from each, tokens in each, the tokens (words and
     an end) as numbers, and the sorted hashes they number. Also n, the number of tokens to learn from."""
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, chunks = None, count()
 
         def fresh():
-            return defaultdict(count().__next__), [], [], [], [], 0
+            return defaultdict(count().__next__), [], [], [], [], [], 0
 
-        def finish(words, ids, train, sizes, tokens):
+        def finish(words, ids, named, train, sizes, tokens):
             hashes = np.fromiter((max(2, xxhash.xxh64_intdigest(w) >> (64 - BITS)) for w in words), dtype=np.uint64, count=len(words))
             known, place = np.unique(np.r_[np.array([START, END], dtype=np.uint64), hashes], return_inverse=True)
             flat = np.concatenate([np.r_[place[2:][t], 1] for t in tokens]) if tokens else np.zeros(0)
             learn, sizes = np.array(train, dtype=bool), np.array(sizes, dtype=np.int64)
-            data = pack(np.array(ids, dtype=np.int64), learn, sizes, flat.astype(np.int32), known)
+            data = pack(np.array(ids, dtype=np.int64), np.array(named, dtype=bool), learn, sizes, flat.astype(np.int32), known)
             nonlocal number
             number = TaskContext.get().partitionId() << 24 if number is None else number
             row = [[number + next(chunks)], [data], [int(sizes[learn].sum())]]
             return pa.RecordBatch.from_arrays([pa.array(row[0]), pa.array(row[1], pa.binary()), pa.array(row[2])], names=["chunk", "data", "n"])
 
-        words, ids, train, sizes, tokens, room = fresh()
-        for batch in batches:
+        words, ids, named, train, sizes, tokens, room = fresh()
+        for batch in small(batches):
             for id_, learn, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = text.lower().split()
                 tokens.append(np.fromiter(map(words.__getitem__, found), dtype=np.int64, count=len(found)))
-                ids.append(id_ if id_ is not None else -(2**63))
+                ids.append(id_ or 0)
+                named.append(id_ is not None)
                 train.append(learn)
                 sizes.append(len(found) + 1)
                 room += len(text) + 64
                 if room >= chunk_bytes:
-                    yield finish(words, ids, train, sizes, tokens)
-                    words, ids, train, sizes, tokens, room = fresh()
+                    yield finish(words, ids, named, train, sizes, tokens)
+                    words, ids, named, train, sizes, tokens, room = fresh()
         if ids:
-            yield finish(words, ids, train, sizes, tokens)
+            yield finish(words, ids, named, train, sizes, tokens)
 
     return docs.mapInArrow(chunked, "chunk long, data binary, n long")
 
@@ -106,7 +141,7 @@ class Pairs:
     """A chunk's distinct pairs of a context and the next token, dealt to buckets."""
 
     def __init__(self, data: bytes, buckets: int, hot: np.ndarray):
-        self.ids, self.learn, self.sizes, self.tokens, self.hashes = unpack(data)
+        self.ids, self.named, self.learn, self.sizes, self.tokens, self.hashes = unpack(data)
         before = np.r_[np.int32(0), self.tokens[:-1]]
         starts = np.cumsum(self.sizes) - self.sizes
         before[starts] = 0
@@ -219,58 +254,69 @@ class Dishes:
             var[i] = (w * (t - mean[i]) ** 2).sum() / w.sum()
         return mean, var
 
-    def draw(self, x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    def draw(self, x: np.ndarray, chance: np.ndarray) -> np.ndarray:
+        """One number of tables for each dish, by a number between 0 and 1 for each."""
         out = np.ones(len(x), dtype=np.int64)
         if len(self.small):
             sums = np.cumsum(self._small(x))
             low = np.r_[0.0, sums][self.first]
-            at = np.searchsorted(sums, low + (sums[self.ends - 1] - low) * rng.random(len(self.small)), side="right")
+            at = np.searchsorted(sums, low + (sums[self.ends - 1] - low) * chance[self.small], side="right")
             out[self.small] = self.t[np.clip(at, self.first, self.ends - 1)]
         for i, t, w in self._large(x):
             sums = np.cumsum(w)
-            out[i] = t[min(len(t) - 1, np.searchsorted(sums, sums[-1] * rng.random(), side="right"))]
+            out[i] = t[min(len(t) - 1, np.searchsorted(sums, sums[-1] * chance[i], side="right"))]
         return out
 
 
-def seat(c: np.ndarray, context: np.ndarray, base: np.ndarray, alone: np.ndarray, wings: np.ndarray, discount: float, strength: float, seed: int) -> list[np.ndarray]:
-    """Samples of the number of tables of each dish: c its customers (2 or more), context its restaurant, base its
-    probability in the parent, alone the tables of each restaurant's other dishes, wings by how much a
-    restaurant's tables here are to be multiplied.
-
-    Blocked Gibbs: given v, drawn from a gamma distribution of shape strength / discount + the restaurant's tables,
-    dishes are independent, and t tables of a dish are in proportion to (v * discount * base)^t * S(c, t). So a
-    sweep seats all customers anew, however many. Sweeps start where v is what its tables let expect, found by
-    Newton's steps until the tables' totals settle."""
-    rng = np.random.default_rng(seed)
-    if not len(c):
-        return [np.zeros(0, dtype=np.int64) for _ in range(SAMPLES)]
-    dishes, some = Dishes(c, discount), np.bincount(context, minlength=len(alone)) > 0
-    total = lambda t: np.bincount(context, weights=t, minlength=len(alone))
-    shape = lambda t: strength / discount + (alone + total(t)) * wings
-    v = shape(np.ones(len(c)))
+def newton(v: np.ndarray, mean: np.ndarray, var: np.ndarray, discount: float, strength: float) -> np.ndarray:
+    """The next v on the way to the one that the tables it lets expect would give; mean and var of the tables."""
+    now = strength / discount + mean
+    return v * np.exp(np.clip(np.log(now / v) / np.maximum(1 - var / now, 0.02), -2, 2))
+
+
+def settled(v: np.ndarray, dishes: Dishes, context: np.ndarray, base: np.ndarray, alone: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """v of the restaurants `which` (a mask), by Newton's steps; alone are the tables of each one's other dishes."""
+    if not which.any() or not len(context):
+        return v
+    total = lambda t: np.bincount(context, weights=t, minlength=len(v))
     for _ in range(SETTLE):
-        mean, var = dishes.moments(v[context] * discount * base)
-        now = shape(mean)
-        step = np.log(now / v) / np.maximum(1 - total(var) * wings / now, 0.02)
-        v *= np.exp(np.where(some, np.clip(step, -2, 2), 0))
-        if np.abs(step[some]).max() < 0.01:
+        mean, var = dishes.moments(v[context] * DISCOUNT * base)
+        now = np.where(which, newton(v, alone + total(mean), total(var), DISCOUNT, STRENGTH), v)
+        done = np.abs(np.log(now / v)).max() < 0.01
+        v = now
+        if done:
             break
-    out = []
-    for sweep in range(BURN_IN + SAMPLES):
-        tables = dishes.draw(v[context] * discount * base, rng)
-        v = rng.gamma(shape(tables))
-        if sweep >= BURN_IN:
-            out.append(tables)
-    return out
+    return v
+
+
+_SCHEMA = "kind int, to long, frm long, data binary, a double, b double, c double"
+#: What rows hold: pairs sent to a bucket; a bucket's restaurants; where a chunk's pairs are in them; tables ordered from
+#: the parent; the parent's probabilities; its words' counts, and its own seating; words a chunk asks for; sums; answers.
+_PAIRS, _STATE, _PLACES, _ORDER, _BASE, _COUNTS, _SEATED, _ASK, _TOTAL, _REPLY, _WORDS = range(11)
+_ROOT, _MASS = -1, -2  # in `to` of sums: the parent's, others are of the context of that hash
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
-    kind, to, frm, data = zip(*rows, strict=True) if rows else ((), (), (), ())
-    return pa.table({"kind": pa.array(kind, pa.int32()), "to": pa.array(to, pa.int64()), "frm": pa.array(frm, pa.int64()), "data": pa.array(data, pa.binary())})
+    """Rows of kind, to, from and data, and of up to three sums."""
+    columns = list(zip(*(r + (0.0,) * (7 - len(r)) for r in rows), strict=True)) if rows else [()] * 7
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.float64(), pa.float64()]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kind", "to", "frm", "data", "a", "b", "c"])
+
+
+def _parts(rows: pa.Table, kind: int) -> list[tuple[int, list[np.ndarray]]]:
+    """The rows of a kind, by where they are from."""
+    found = [(f, d) for k, f, d in zip(rows["kind"].to_pylist(), rows["frm"].to_pylist(), rows["data"].to_pylist(), strict=True) if k == kind]
+    return [(f, unpack(d)) for f, d in sorted(found, key=lambda x: x[0])]
 
 
-_SCHEMA = "kind int, to long, frm long, data binary"
-_REPLY, _ORDER, _TOTAL, _ASK = 0, 1, 2, 3
+def _steps(sorted_: np.ndarray) -> np.ndarray:
+    return np.diff(np.r_[np.zeros(1, dtype=sorted_.dtype), sorted_])
+
+
+def _by_bucket(words: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    ends = np.searchsorted(bucket_of(words, buckets), np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(ends)).tolist():
+        yield b, slice(ends[b], ends[b + 1])
 
 
 def release(spark: SparkSession) -> None:
@@ -279,7 +325,186 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def scores(docs: DataFrame, train, tokens_per_bucket: int = 600_000, most_buckets: int = 4096) -> DataFrame:
+class Seating:
+    """A model's settings, and what its steps over tables do in each bucket (grouped Arrow functions)."""
+
+    def __init__(self, buckets: int, hot: np.ndarray):
+        self.buckets, self.hot = buckets, hot
+
+    def merge(self, key, rows):
+        """Adds up what chunks send a bucket of contexts: its restaurants, and where each chunk's pairs are in them."""
+        bucket = key[0].as_py()
+        parts = _parts(rows, _PAIRS)
+        u = np.concatenate([np.repeat(p[0], p[1]) for _, p in parts])
+        w = np.concatenate([p[2] for _, p in parts])
+        own = np.concatenate([p[3] for _, p in parts]).astype(np.int64)
+        order = np.lexsort((w, u))
+        us, ws = u[order], w[order]
+        new = np.r_[True, (us[1:] != us[:-1]) | (ws[1:] != ws[:-1])]
+        place = np.empty(len(u), dtype=np.int64)
+        place[order] = np.cumsum(new) - 1
+        starts = np.flatnonzero(new)
+        c = np.add.reduceat(own[order], starts)
+        contexts, context, lengths = np.unique(us[starts], return_inverse=True, return_counts=True)
+        words, word = np.unique(ws[starts], return_inverse=True)
+        none = [np.zeros(len(contexts), dtype=np.uint32)] * (1 + SAMPLES)
+        state = pack(contexts, lengths.astype(np.int32), words, word.astype(np.uint32), c.astype(np.uint32), np.zeros(len(c), dtype=np.uint32), *none)
+        out, at = [(_STATE, bucket, bucket, state)], 0
+        for chunk, p in parts:
+            out.append((_PLACES, bucket, chunk, pack(_steps(place[at : at + len(p[2])]).astype(np.uint32))))
+            at += len(p[2])
+        kinds, counts = np.bincount(word[c > 0], minlength=len(words)), np.bincount(word, weights=c, minlength=len(words))
+        real = np.flatnonzero(kinds)
+        for b, some in _by_bucket(words[real], self.buckets):
+            some = real[some]
+            out.append((_ORDER, b, bucket, pack(_steps(words[some]), kinds[some].astype(np.uint32), counts[some].astype(np.uint32))))
+        customers = np.bincount(context, weights=c, minlength=len(contexts))
+        start = np.bincount(context, weights=c**0.7, minlength=len(contexts))
+        for k in np.flatnonzero(np.isin(contexts, self.hot)).tolist():
+            out.append((_TOTAL, int(contexts[k]), bucket, b"", float(customers[k]), float(start[k])))
+        return _rows(out)
+
+    def first(self, key, rows):
+        """A bucket of words before the first sweep: each context that a word occurs in is a customer of the parent."""
+        bucket = key[0].as_py()
+        words, place, (kinds, counts), parts = self._ordered(rows, 2)
+        out = [(_COUNTS, bucket, bucket, pack(_steps(words), counts.astype(np.uint32)))]
+        out += self._told(parts, place, (kinds - ROOT_DISCOUNT).astype(np.float32), bucket)
+        out.append((_TOTAL, _ROOT, bucket, b"", float(kinds.sum()), float((kinds**0.7).sum()), float(len(words))))
+        out.append((_TOTAL, _MASS, bucket, b"", float((kinds - ROOT_DISCOUNT).sum()), float(counts.sum())))
+        return _rows(out)
+
+    @staticmethod
+    def _ordered(rows: pa.Table, n: int):
+        """The distinct words of the orders in a bucket, where each order's words are in them, and n sums a word."""
+        parts = [(f, np.cumsum(p[0], dtype=np.uint64), p[1:]) for f, p in _parts(rows, _ORDER)]
+        words, place = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
+        sums = [np.bincount(place, weights=np.concatenate([p[2][k] for p in parts]), minlength=len(words)).astype(np.int64) for k in range(n)]
+        return words, place, sums, parts
+
+    @staticmethod
+    def _told(parts, place, mass, bucket) -> list[tuple]:
+        out, at = [], 0
+        for frm, hashes, _ in parts:
+            out.append((_BASE, frm, bucket, pack(mass[place[at : at + len(hashes)]])))
+            at += len(hashes)
+        return out
+
+    def children(self, sweep: int, totals: dict):
+        """The step that seats the restaurants of a bucket of contexts. totals: v of hot contexts, and of the parent the mass
+        of its words, that of its own base, and the number of words."""
+
+        def run(key, rows):
+            bucket = key[0].as_py()
+            contexts, lengths, words, word, c, t_sum, before, *sampled = _parts(rows, _STATE)[0][1]
+            told = _parts(rows, _BASE)
+            mass = np.zeros(len(words))
+            context = np.repeat(np.arange(len(contexts)), lengths)
+            real = np.flatnonzero(np.bincount(word[c > 0], minlength=len(words)))
+            mass[real] = np.concatenate([p[0] for _, p in told]) if told else mass[real]
+            base = (mass + totals["rest"] / (totals["words"] + 1)) / (totals["mass"] + totals["rest"])
+            several = np.flatnonzero(c > 1)
+            where, x = context[several], DISCOUNT * base[word[several]]
+            dishes = Dishes(c[several].astype(np.int64), DISCOUNT)
+            alone = np.bincount(context[c == 1], minlength=len(contexts)).astype(float)
+            spread = np.isin(contexts, self.hot)
+            place = np.searchsorted(self.hot, contexts[spread])
+            keys = mixed(contexts + np.uint64(sweep << BITS))
+            if sweep == 0:
+                v = STRENGTH / DISCOUNT + np.maximum(alone, 1) + np.bincount(where, minlength=len(contexts))
+                v[spread] = totals["v"][place]
+                v = settled(v, dishes, where, base[word[several]], alone, ~spread)
+            else:
+                v = gamma(STRENGTH / DISCOUNT + before, keys)
+                v[spread] = totals["v"][place]
+            x = v[where] * x
+            t = (c > 0).astype(np.uint32)
+            t[several] = dishes.draw(x, uniform(mixed(contexts[where] * np.uint64(0x9E3779B97F4A7C15) + words[word[several]]), sweep))
+            tables = np.bincount(context, weights=t, minlength=len(contexts)).astype(np.uint32)
+            if sweep >= BURN_IN:
+                t_sum = t_sum + t
+                sampled[sweep - BURN_IN] = tables
+            state = pack(contexts, lengths, words, word, c, t_sum, tables, *sampled)
+            out = [(_STATE, bucket, bucket, state)]
+            ordered = np.bincount(word, weights=t, minlength=len(words)).astype(np.uint32)
+            for b, some in _by_bucket(words[real], self.buckets):
+                some = real[some]
+                out.append((_ORDER, b, bucket, pack(_steps(words[some]), ordered[some])))
+            if spread.any():
+                mean, var = alone.copy(), np.zeros(len(contexts))
+                if sweep < BURN_IN and (mine := np.flatnonzero(spread[where])).size:
+                    m, s = Dishes(c[several][mine].astype(np.int64), DISCOUNT).moments(x[mine])
+                    mean += np.bincount(where[mine], weights=m, minlength=len(contexts))
+                    var += np.bincount(where[mine], weights=s, minlength=len(contexts))
+                for k in np.flatnonzero(spread).tolist():
+                    out.append((_TOTAL, int(contexts[k]), bucket, b"", float(mean[k]), float(var[k]), float(tables[k])))
+            return _rows(out)
+
+        return run
+
+    def parent(self, sweep: int, v: float, n_words: float):
+        """The step that seats a bucket of words in the parent, and draws the words' mass in its posterior."""
+
+        def run(key, rows):
+            bucket = key[0].as_py()
+            words, place, (customers,), parts = self._ordered(rows, 1)
+            several = np.flatnonzero(customers > 1)
+            x = np.full(len(several), v * ROOT_DISCOUNT / (n_words + 1))
+            dishes = Dishes(customers[several], ROOT_DISCOUNT)
+            keys = mixed(words + np.uint64(sweep << BITS))
+            t = (customers > 0).astype(np.int64)
+            t[several] = dishes.draw(x, uniform(keys[several], 50))
+            mass = gamma(customers - ROOT_DISCOUNT * t, keys).astype(np.float32)
+            out = self._told(parts, place, mass, bucket)
+            mean, var = dishes.moments(x) if sweep < BURN_IN else (np.zeros(1), np.zeros(1))
+            out.append((_TOTAL, _ROOT, bucket, b"", float(mean.sum() + (customers == 1).sum()), float(var.sum()), float(t.sum())))
+            out.append((_TOTAL, _MASS, bucket, b"", float(mass.sum(dtype=np.float64)), float(customers.sum())))
+            if sweep >= BURN_IN:
+                out.append((_SEATED, bucket, sweep, pack(_steps(words), customers.astype(np.uint32), t.astype(np.uint32))))
+            return _rows(out)
+
+        return run
+
+    def answers(self, key, rows):
+        """A bucket's restaurants, to the chunks whose pairs are in them: customers and tables of contexts and pairs."""
+        bucket = key[0].as_py()
+        _, lengths, _, _, c, t_sum, _, *sampled = _parts(rows, _STATE)[0][1]
+        context = np.repeat(np.arange(len(lengths)), lengths)
+        totals = [np.bincount(context, weights=c, minlength=len(lengths)).astype(np.uint32), *sampled]
+        out = []
+        for chunk, (steps,) in _parts(rows, _PLACES):
+            at = np.cumsum(steps, dtype=np.int64)
+            heads = np.unique(context[at])
+            out.append((_REPLY, chunk, bucket, pack(*(x[heads] for x in totals), c[at], t_sum[at])))
+        return _rows(out)
+
+    def words(self, key, rows):
+        """A bucket of words, to the chunks that ask: counts, and customers and tables in the parent in each sample."""
+        bucket = key[0].as_py()
+        asked = [(f, np.cumsum(p[0], dtype=np.uint64)) for f, p in _parts(rows, _ASK)]
+        known = [(np.cumsum(p[0], dtype=np.uint64), p[1:]) for k in (_COUNTS, _SEATED) for _, p in _parts(rows, k)]
+        out = []
+        for chunk, hashes in asked:
+            reply = [np.zeros(len(hashes), dtype=np.uint32) for _ in range(1 + 2 * SAMPLES)]
+            if known and len(known[0][0]):
+                i = np.minimum(np.searchsorted(known[0][0], hashes), len(known[0][0]) - 1)
+                found = known[0][0][i] == hashes
+                reply = [np.where(found, x[i], 0).astype(np.uint32) for _, xs in known for x in xs]
+            out.append((_WORDS, chunk, bucket, pack(*reply)))
+        return _rows(out)
+
+
+def _sums(df: DataFrame) -> dict[int, tuple[float, float, float]]:
+    """The sums by what they are of: the parent, its mass, and some hundred contexts at most."""
+    found = df.filter(F.col("kind") == _TOTAL).groupBy("to").agg(*(F.sum(x).alias(x) for x in "abc"))
+    return {r["to"]: (r["a"], r["b"], r["c"]) for r in found.collect()}
+
+
+def _one(shape: float, key: int) -> float:
+    return float(gamma(np.array([shape]), mixed(np.array([key], dtype=np.uint64)))[0])
+
+
+def scores(docs: DataFrame, train, tokens_per_bucket: int = 300_000, least_buckets: int = 8, chunk_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs, in which the
     column expression `train` says what to learn from.
 
@@ -287,197 +512,137 @@ def scores(docs: DataFrame, train, tokens_per_bucket: int = 600_000, most_bucket
     the average over SAMPLES seatings of p(word | word before); base_score the add-one unigram one, n_known
     the tokens that occur in what was learned from, train_tokens their number there.
 
+    Blocked Gibbs: given v, drawn from a gamma distribution of shape strength / discount + a restaurant's tables, its
+    dishes are independent, and t tables of a dish of c customers are in proportion to (v * discount * base)^t * S(c, t).
+    Sweeps start where v is what its tables let expect, found by Newton's steps, within the first sweep, or where a restaurant
+    is dealt to all buckets, one in each sweep of the burn-in.
+
     Null texts are empty: one token, the end. Null ids come back null. Repeated rows count each. Nothing to
     learn from leaves a uniform model of one word. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
-    chunks = cut(tokenized(texts(docs, train.alias("train")).select("doc_id", "train", F.col("text").cast("binary").alias("text"))), "chunks")
+    rows = texts(docs, train.alias("train")).select("doc_id", "train", F.col("text").cast("binary").alias("text"))
+    chunks = cut(tokenized(rows, chunk_bytes), "chunks")
     total = chunks.agg(F.sum("n")).first()[0] or 0
-    buckets = int(max(8, min(most_buckets, -(-total // tokens_per_bucket))))
+    buckets = int(max(least_buckets, -(-total // tokens_per_bucket)))
+    parts = max(1, -(-buckets // 2))
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                _, learn, sizes, tokens, hashes = unpack(data)
+                _, _, learn, sizes, tokens, hashes = unpack(data)
                 before = np.r_[np.int32(0), tokens[:-1]]
                 before[np.cumsum(sizes) - sizes] = 0
                 n = np.bincount(before[np.repeat(learn, sizes)], minlength=len(hashes))
-                often = np.flatnonzero(n > max(1, n.sum() // (2 * HOT_SHARE)))
+                often = np.flatnonzero(n > n.sum() // (2 * HOT_SHARE))
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[often].astype(np.int64)), pa.array(n[often].astype(np.int64))], names=["h", "n"])
 
     often = chunks.select("data").mapInArrow(common, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > total / HOT_SHARE)
     hot = np.array(sorted(r["h"] for r in often.select("h").collect()), dtype=np.uint64)
-    held_hot = spark.sparkContext.broadcast(hot)
+    model = Seating(buckets, hot)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                p = Pairs(data, buckets, held_hot.value)
+                p = Pairs(data, buckets, hot)
                 rows = []
                 for b, at in p.slices:
                     runs = p.runs(at)
                     lengths = np.diff(np.r_[runs, len(at)]).astype(np.int32)
-                    rows.append((_ORDER, b, chunk, pack(p.hashes[p.context[at[runs]]], lengths, p.hashes[p.word[at]], p.own[at].astype(np.uint32))))
+                    rows.append((_PAIRS, b, chunk, pack(p.hashes[p.context[at[runs]]], lengths, p.hashes[p.word[at]], p.own[at].astype(np.uint32))))
                 yield from _rows(rows).to_batches()
 
-    def serve(key, rows):
-        """A bucket's contexts: adds up its pairs, seats its restaurants, and answers chunks and word buckets."""
-        bucket = key[0].as_py()
-        froms = rows["frm"].to_pylist()
-        parts = [unpack(d) for d in rows["data"].to_pylist()]
-        order = np.argsort(froms)
-        froms, parts = [froms[i] for i in order], [parts[i] for i in order]
-        u = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
-        w = np.concatenate([p[2] for p in parts])
-        own = np.concatenate([p[3] for p in parts]).astype(np.int64)
-        order = np.lexsort((w, u))
-        us, ws = u[order], w[order]
-        new = np.r_[True, (us[1:] != us[:-1]) | (ws[1:] != ws[:-1])]
-        pair = np.empty(len(u), dtype=np.int64)
-        pair[order] = np.cumsum(new) - 1
-        starts = np.flatnonzero(new)
-        c = np.add.reduceat(own[order], starts)
-        pu, pw = us[starts], ws[starts]
-        contexts, context = np.unique(pu, return_inverse=True)
-        words, word = np.unique(pw, return_inverse=True)
-        spread = np.isin(contexts, held_hot.value)
-        seen, several = c > 0, np.flatnonzero(c > 1)
-        here = np.bincount(word[seen], minlength=len(words))
-        base = here / max(1, here.sum())
-        single = np.bincount(context[c == 1], minlength=len(contexts)).astype(float)
-        wings = np.where(spread, float(buckets), 1.0)
-        samples = []
-        for t in seat(c[several], context[several], base[word[several]], single, wings, DISCOUNT, STRENGTH, bucket):
-            whole = seen.astype(np.int64)
-            whole[several] = t
-            samples.append(whole)
-        c_context = np.bincount(context, weights=c, minlength=len(contexts)).astype(np.int64)
-        t_context = [np.bincount(context, weights=t, minlength=len(contexts)).astype(np.int64) for t in samples]
-        out, at = [], 0
-        t_sum = np.sum(samples, axis=0)
-        for chunk, p in zip(froms, parts, strict=True):
-            mine = pair[at : at + len(p[2])]
-            at += len(mine)
-            i = np.searchsorted(contexts, p[0])
-            told = np.flatnonzero((c[mine] > 1) | (c[mine] != p[3]))
-            reply = [np.where(spread, 0, x)[i].astype(np.uint32) for x in (c_context, *t_context)]
-            steps = np.diff(np.r_[0, told]).astype(np.uint32)
-            out.append((_REPLY, chunk, bucket, pack(*reply, steps, c[mine[told]].astype(np.uint32), t_sum[mine[told]].astype(np.uint32))))
-        sums = [np.bincount(word, weights=x, minlength=len(words)).astype(np.uint32) for x in (c, *samples)]
-        real = sums[0] > 0
-        words, sums = words[real], [s[real] for s in sums]
-        ends = np.searchsorted(bucket_of(words, buckets), np.arange(buckets + 1))
-        for b in range(buckets):
-            if (lo := ends[b]) < (hi := ends[b + 1]):
-                steps = np.diff(np.r_[np.uint64(0), words[lo:hi]])
-                out.append((_ORDER, b, bucket, pack(steps, *(s[lo:hi] for s in sums))))
-        if spread.any():
-            out.append((_TOTAL, 0, bucket, pack(contexts[spread], *(x[spread] for x in (c_context, *t_context)))))
-        return _rows(out)
-
-    answers = cut(chunks.select("chunk", "data").mapInArrow(send, _SCHEMA).groupBy("to").applyInArrow(serve, _SCHEMA), "answers")
-    release(spark)
-    hot_totals = np.zeros((len(hot), 1 + SAMPLES))
-    for row in answers.filter(F.col("kind") == _TOTAL).select("data").toLocalIterator():
-        which, *numbers = unpack(row["data"])
-        hot_totals[np.searchsorted(hot, which)] += np.stack(numbers, axis=1)
-
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hashes = unpack(data)[4]
-                ends = np.searchsorted(bucket_of(hashes, buckets), np.arange(buckets + 1))
-                rows = [(_ASK, b, chunk, pack(np.diff(np.r_[np.uint64(0), hashes[ends[b] : ends[b + 1]]]))) for b in range(buckets) if ends[b] < ends[b + 1]]
-                yield from _rows(rows).to_batches()
+                hashes = unpack(data)[5]
+                yield from _rows([(_ASK, b, chunk, pack(_steps(hashes[some]))) for b, some in _by_bucket(hashes, buckets)]).to_batches()
 
-    def parent(key, rows):
-        """A bucket of words: adds up what their restaurants order, and seats it in the parent."""
-        bucket = key[0].as_py()
-        rows = rows.sort_by([("kind", "ascending"), ("frm", "ascending")])
-        kinds, froms, data = rows["kind"].to_pylist(), rows["frm"].to_pylist(), [unpack(d) for d in rows["data"].to_pylist()]
-        orders = [(np.cumsum(d[0], dtype=np.uint64), d[1:]) for k, d in zip(kinds, data, strict=True) if k == _ORDER]
-        asked = [(f, np.cumsum(d[0], dtype=np.uint64)) for k, f, d in zip(kinds, froms, data, strict=True) if k == _ASK]
-        words, place = np.unique(np.concatenate([o[0] for o in orders] or [np.zeros(0, dtype=np.uint64)]), return_inverse=True)
-        columns = [
-            np.bincount(place, weights=np.concatenate([o[1][k] for o in orders] or [np.zeros(0)]), minlength=len(words)).astype(np.int64)
-            for k in range(1 + SAMPLES)
-        ]
-        seated = []
-        for k, customers in enumerate(columns[1:]):
-            several = np.flatnonzero(customers > 1)
-            base = np.full(len(several), 1 / (1 + len(words) * buckets))
-            single = np.array([float((customers == 1).sum())])
-            t = seat(customers[several], np.zeros(len(several), dtype=np.int64), base, single, np.array([float(buckets)]), ROOT_DISCOUNT, ROOT_STRENGTH, bucket * SAMPLES + k)
-            tables = (customers > 0).astype(np.int64)
-            tables[several] = t[-1]
-            seated.append(tables)
-        out = []
-        for chunk, hashes in asked:
-            i = np.searchsorted(words, hashes)
-            known = (i < len(words)) & (words[np.minimum(i, max(0, len(words) - 1))] == hashes) if len(words) else np.zeros(len(hashes), dtype=bool)
-            reply = [np.where(known, x[np.minimum(i, len(words) - 1)] if len(words) else 0, 0).astype(np.uint32) for x in (*columns, *seated)]
-            out.append((_ORDER, chunk, bucket, pack(*reply)))
-        totals = np.array([len(words), columns[0].sum(), *(x.sum() for x in columns[1:]), *(x.sum() for x in seated)], dtype=np.int64)
-        out.append((_TOTAL, 0, bucket, pack(totals)))
-        return _rows(out)
+    def grouped(df: DataFrame, step) -> DataFrame:
+        return df.repartition(parts, "to").groupBy("to").applyInArrow(lambda key, rows: step(key, rows), _SCHEMA)
 
-    orders = answers.filter(F.col("kind") == _ORDER).unionByName(chunks.select("chunk", "data").mapInArrow(ask, _SCHEMA))
-    words = cut(orders.groupBy("to").applyInArrow(parent, _SCHEMA), "words")
+    of = lambda df, *kinds: df.filter(F.col("kind").isin(*kinds))
+    merged = cut(grouped(chunks.select("chunk", "data").mapInArrow(send, _SCHEMA), model.merge), "merged")
     release(spark)
-    totals = np.zeros(2 + 2 * SAMPLES, dtype=np.int64)
-    for row in words.filter(F.col("kind") == _TOTAL).select("data").toLocalIterator():
-        totals += unpack(row["data"])[0]
-    held_totals = spark.sparkContext.broadcast((hot_totals, totals))
+    counted = cut(grouped(of(merged, _ORDER), model.first), "counted")
+    found, start = _sums(counted), _sums(merged)
+    kinds, start_root, n_words = found.get(_ROOT, (0.0, 0.0, 0.0))
+    mass, n_train, _ = found.get(_MASS, (0.0, 0.0, 0.0))
+    v = STRENGTH / DISCOUNT + np.array([start[int(h)][1] for h in hot])
+    v_root, rest = ROOT_STRENGTH / ROOT_DISCOUNT + start_root, ROOT_STRENGTH + ROOT_DISCOUNT * n_words
+    state, base, seated, samples = merged, counted, [of(counted, _COUNTS)], []
+    for sweep in range(BURN_IN + SAMPLES):
+        told = {"v": v, "mass": mass, "rest": rest, "words": n_words}
+        swept = cut(grouped(of(state, _STATE).unionByName(of(base, _BASE)), model.children(sweep, told)), "swept")
+        rooted = cut(grouped(of(swept, _ORDER), model.parent(sweep, v_root, n_words)), "rooted")
+        release(spark)
+        if sweep:  # the tables of merged and counted, and of the samples' words, are read again at the end
+            discard(state, *([base] if sweep <= BURN_IN else []))
+        now, root = _sums(swept), _sums(rooted)
+        mean, var, tables = root.get(_ROOT, (0.0, 0.0, 0.0))
+        mass, customers, _ = root.get(_MASS, (0.0, 0.0, 0.0))
+        key = (sweep + 1) << BITS
+        rest = _one(ROOT_STRENGTH + ROOT_DISCOUNT * tables, key)
+        if sweep < BURN_IN - 1:
+            v_root = float(newton(np.array([v_root]), np.array([mean]), np.array([var]), ROOT_DISCOUNT, ROOT_STRENGTH)[0])
+            moments = np.array([now[int(h)][:2] for h in hot]).reshape(-1, 2).T
+            v = newton(v, *moments, DISCOUNT, STRENGTH)
+        else:
+            v_root = _one(ROOT_STRENGTH / ROOT_DISCOUNT + tables, key + 1)
+            v = gamma(STRENGTH / DISCOUNT + np.array([now[int(h)][2] for h in hot]), mixed(hot + np.uint64(key)))
+        if sweep >= BURN_IN:
+            samples.append((customers, tables, {int(h): now[int(h)][2] for h in hot}))
+            seated.append(of(rooted, _SEATED))
+        state, base = swept, rooted
+    hot_totals = np.array([[start[int(h)][0], *(s[2][int(h)] for s in samples)] for h in hot]).reshape(-1, 1 + SAMPLES)
 
     def judge(key, chunk, replies):
         names = ["doc_id", "train", "n_tokens", "n_known", "score", "base_score"]
-        hot_, (hot_totals, totals) = held_hot.value, held_totals.value
-        p = Pairs(chunk["data"][0].as_py(), buckets, hot_)
-        n, v = len(p.hashes), int(totals[0])
-        got = {(k, f): d for k, f, d in zip(replies["kind"].to_pylist(), replies["frm"].to_pylist(), replies["data"].to_pylist(), strict=True)}
-        c = p.own.astype(np.float64)
-        t = np.minimum(c, 1.0)
+        p = Pairs(chunk["data"][0].as_py(), buckets, hot)
+        n = len(p.hashes)
+        got = dict(_parts(replies, _REPLY))
+        c, t = np.zeros(len(p.own)), np.zeros(len(p.own))
         c_context, t_context = np.zeros(n), np.zeros((SAMPLES, n))
         for b, at in p.slices:
-            *contexts, steps, told_c, told_t = unpack(got[_REPLY, b])
+            *contexts, c_here, t_here = got[b]
             heads = p.context[at[p.runs(at)]]
             c_context[heads] = contexts[0]
             t_context[:, heads] = contexts[1:]
-            told = at[np.cumsum(steps, dtype=np.int64)]
-            c[told], t[told] = told_c, told_t / SAMPLES
-        if len(hot_):
-            i = np.minimum(np.searchsorted(hot_, p.hashes), len(hot_) - 1)
-            is_hot = hot_[i] == p.hashes
+            c[at], t[at] = c_here, t_here / SAMPLES
+        if len(hot):
+            i = np.minimum(np.searchsorted(hot, p.hashes), len(hot) - 1)
+            is_hot = hot[i] == p.hashes
             c_context[is_hot] = hot_totals[i[is_hot], 0]
             t_context[:, is_hot] = hot_totals[i[is_hot], 1:].T
-        ends = np.searchsorted(bucket_of(p.hashes, buckets), np.arange(buckets + 1))
-        columns = np.concatenate([np.stack(unpack(got[_ORDER, b])) for b in range(buckets) if ends[b] < ends[b + 1]], axis=1).astype(np.float64)
+        columns = np.concatenate([np.stack(d) for _, d in _parts(replies, _WORDS)], axis=1).astype(np.float64)
         counts = columns[0]
         below = STRENGTH + c_context
         owned = np.maximum(c - DISCOUNT * t, 0.0) / below[p.context]
         shared = np.zeros(len(c))
-        for s in range(SAMPLES):
-            customers, tables = totals[2 + s], totals[2 + SAMPLES + s]
+        for s, (customers, tables, _) in enumerate(samples):
             down = ROOT_STRENGTH + customers
-            root = (np.maximum(columns[1 + s] - ROOT_DISCOUNT * columns[1 + SAMPLES + s], 0.0) + (ROOT_STRENGTH + ROOT_DISCOUNT * tables) / (v + 1)) / down
+            ours, theirs = columns[1 + 2 * s], columns[2 + 2 * s]
+            root = (np.maximum(ours - ROOT_DISCOUNT * theirs, 0.0) + (ROOT_STRENGTH + ROOT_DISCOUNT * tables) / (n_words + 1)) / down
             back = (STRENGTH + DISCOUNT * t_context[s]) / below
             shared += back[p.context] * root[p.word] / SAMPLES
         likely = np.log10(owned + shared)[p.pair]
-        plain = np.log10((counts + 1) / (int(totals[1]) + v + 1))[p.tokens]
+        plain = np.log10((counts + 1) / (n_train + n_words + 1))[p.tokens]
         add = lambda x: np.add.reduceat(x, p.starts) if len(p.starts) else x
         known = add((counts[p.tokens] > 0).astype(np.int64))
-        return pa.table([pa.array(p.ids), pa.array(p.learn), pa.array(p.sizes), pa.array(known), pa.array(add(likely)), pa.array(add(plain))], names=names)
+        ids = pa.array(p.ids, mask=~p.named)
+        return pa.table([ids, pa.array(p.learn), pa.array(p.sizes), pa.array(known), pa.array(add(likely)), pa.array(add(plain))], names=names)
 
-    replies = answers.filter(F.col("kind") == _REPLY).unionByName(words.filter(F.col("kind") == _ORDER)).withColumnRenamed("to", "chunk")
+    asked = chunks.select("chunk", "data").mapInArrow(ask, _SCHEMA)
+    told = grouped(reduce(DataFrame.unionByName, seated, asked), model.words)
+    replies = grouped(of(state, _STATE).unionByName(of(merged, _PLACES)), model.answers)
+    replies = replies.unionByName(told).withColumnRenamed("to", "chunk")
     scored = (
         chunks.select("chunk", "data")
         .groupBy("chunk")
         .cogroup(replies.groupBy("chunk"))
         .applyInArrow(judge, "doc_id long, train boolean, n_tokens long, n_known long, score double, base_score double")
     )
-    id_ = F.when(F.col("doc_id") != F.lit(-(2**63)), F.col("doc_id"))
-    return scored.select(id_.alias("doc_id"), "train", "n_tokens", "n_known", F.lit(int(totals[1])).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select("doc_id", "train", "n_tokens", "n_known", F.lit(int(n_train)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, remainder, table, texts
+from ._shared import remainder, small, table, texts
 
 _MARKS = b".,;:!?|$%&*#\"'()[]{}<>=+-_/\\@"
 FEATURES = 16 + len(_MARKS)
@@ -116,7 +116,7 @@ def rank(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None, pairs:
 def _featured(rows: DataFrame) -> DataFrame:
     """rows (first column text as binary, others as they are), with x, the features, in place of the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             x = [features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), *batch.columns[1:]], names=["x", *batch.schema.names[1:]])
 
@@ -131,7 +131,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, **how) -> Ra
     what is learned from; sampled rows are weighted by their label's sampling rate, so that the share of each label,
     by which the cut is set, and the slope are as of all of them."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     marks = (
         labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("y"))
         .filter("id IS NOT NULL AND y IN (0, 1)")
@@ -155,11 +154,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, **how) -> Ra
 def judge(docs: DataFrame, ranking: Ranking) -> DataFrame:
     """doc_id, score, predicted (1 if the score is at least CUT, else 0), one row per row of docs. Null texts are
     empty, and empty ones are scored like others. Nothing is shuffled."""
-    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(ranking)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             x = np.array([features(t) for t in batch.column(1).to_pylist()], dtype=float).reshape(-1, FEATURES)
             score = held.value.score(x)
             yield pa.RecordBatch.from_arrays(

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, components, cut, table, texts
+from ._shared import components, cut, discard, small, table, texts
 
 #: Pairs of fingerprints that are compared at once: what they need stays in a core's cache.
 _AT_ONCE = 1 << 16
@@ -62,10 +62,9 @@ def fingerprint_table(docs: DataFrame, words: int = 4, lanes: int = 1) -> DataFr
     """doc_id, the fingerprint in f0, f1 ... (lanes of 64 bits, as longs), and n, the number of distinct shingles
     (at least 1); one row per row of docs. Null texts are empty; texts of no words have fingerprint 0, like
     each other."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 h = shingle_hashes(text, words)
@@ -289,7 +288,7 @@ def linked(
             numbers = {n: struct.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("node", *fields)}
             return numbers["node"], np.stack([numbers[n].view(np.uint64) for n in names], axis=1), numbers.get("n")
 
-        for batch in batches:
+        for batch in small(batches):
             for i in range(batch.num_rows):
                 (ids, a, n), right = grid(batch.column(0), i), grid(batch.column(1), i)
                 sizes = None if share is None else (n, right[2] if right else None)

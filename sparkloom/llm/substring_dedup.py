@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, cut, table, texts
+from ._shared import cut, small, table, texts
 
 MIN_WORDS = 8
 WINDOW, GRAM = 50, 25  # words of a window, and of the runs in it one of which is its anchor
@@ -84,7 +84,7 @@ def repeated_windows(base: DataFrame, runs_per_bucket: int = 50_000) -> DataFram
     spark = base.sparkSession
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             known, found = _Hashes(), [np.zeros(0, dtype=np.uint64)]
             for text in batch.column(0).to_pylist():
                 anchors, hashes = windows(text, known)
@@ -111,7 +111,7 @@ def repeated_windows(base: DataFrame, runs_per_bucket: int = 50_000) -> DataFram
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
-        for batch in batches:
+        for batch in small(batches):
             known, out = _Hashes(), []
             for did, tid, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 anchors, hashes = windows(text, known)
@@ -187,11 +187,10 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     one. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     base = texts(docs).select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("did"), F.xxhash64("text").alias("tid"), "text")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for did, tid, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for start, end, unit in units(text, min_words):
@@ -226,7 +225,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-        for batch in batches:
+        for batch in small(batches):
             out = [remove(t, places(t, spans)) for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             gone = [[{"start": a, "end": b} for a, b in spans] for _, spans in out]
             columns = [batch.column(0), pa.array([t for t, _ in out], pa.string()), pa.array(gone, pa.list_(span))]

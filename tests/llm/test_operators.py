@@ -488,49 +488,6 @@ def test_lm_probabilities_sum_to_one(spark):
     assert (x > 0).all() and x.sum() + p[1005] == pytest.approx(1)
 
 
-def test_gibbs_seating_fits_the_exact_posterior():
-    """Tables of one dish of four customers, by all ways to seat them."""
-    d, s, base, c, n = 0.4, 2.0, 0.3, 4, 60_000
-    weights = Counter()
-
-    def arrange(sizes, w):
-        if sum(sizes) == c:
-            weights[len(sizes)] += w
-            return
-        for k in range(len(sizes)):
-            arrange([*sizes[:k], sizes[k] + 1, *sizes[k + 1 :]], w * (sizes[k] - d))
-        arrange([*sizes, 1], w * (s + d * len(sizes)) * base)
-
-    arrange([1], s * base)
-    exact = {t: w / sum(weights.values()) for t, w in weights.items()}
-    old = lm.BURN_IN, lm.SAMPLES
-    lm.BURN_IN, lm.SAMPLES = 15, 1
-    try:
-        got = lm.seat(np.full(n, c), np.arange(n), np.full(n, base), np.zeros(n), np.ones(n), d, s, 7)[-1]
-    finally:
-        lm.BURN_IN, lm.SAMPLES = old
-    for t, p in exact.items():
-        assert abs((got == t).mean() - p) < 0.01
-
-
-@pytest.mark.parametrize("base", [0.02, 0.4])
-def test_gibbs_seats_all_customers_of_frequent_dishes(base):
-    """Tables of one dish of 3000 customers, by the recurrence over customers."""
-    d, s, c, n = 0.85, 1.0, 3000, 400
-    logs = np.zeros(1)
-    for k in range(1, c):
-        stay = logs + np.log(k - d * np.arange(1, k + 1))
-        logs = np.r_[stay[0], np.logaddexp(logs[:-1], stay[1:]), 0.0]
-    t = np.arange(1, c + 1)
-    logs += np.cumsum(np.log((s + d * (t - 1)) * base))
-    p = np.exp(logs - logs.max())
-    p /= p.sum()
-    mean = (p * t).sum()
-    spread = np.sqrt((p * (t - mean) ** 2).sum())
-    got = lm.seat(np.full(n, c), np.arange(n), np.full(n, base), np.zeros(n), np.ones(n), d, s, 7)[-1]
-    assert abs(got.mean() - mean) < 5 * spread / np.sqrt(n)
-
-
 def test_packing():
     arrays = [np.arange(5, dtype=np.uint64) << 40, np.zeros(0, dtype=np.int32), np.array([True, False])]
     for a, b in zip(arrays, lm.unpack(lm.pack(*arrays)), strict=True):
