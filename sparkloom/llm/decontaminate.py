@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property, reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import LOWER, UPPER, small, table, texts
+from ._shared import LOWER, UPPER, cut, free_name, small, table, texts
 
 WINDOW = 10
-#: A-Z lower-cased; bytes that are not part of a word become spaces. A word is [^\x00-\x2F\x3A-\x60\x7B-\x7F]+.
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A-Z lower-cased; bytes that are not part of a word become spaces. A word is WORD.
 _TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
 )
@@ -22,105 +25,212 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
+def _doubled(ids: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks of all suffixes by their first `depth` words at least, by doubling: suffixes that share these share a
+    rank. A zero ends a text, so that nothing is compared beyond it."""
+    rank, have = ids.astype(np.int64), 1
+    while have < depth:
+        after = np.zeros(len(rank), dtype=np.int64)
+        after[:-have] = rank[have:]
+        after[rank == 0] = 0
+        key = rank * (int(rank.max(initial=0)) + 1) + after
+        _, now = np.unique(key, return_inverse=True)
+        now = np.where(rank == 0, 0, now + 1)
+        have *= 2
+        if int(now.max(initial=0)) == np.count_nonzero(now):  # each suffix has a rank of its own
+            return now
+        rank = now
+    return rank
+
+
+class Prefixes:
+    """Hashes of all stretches of a sequence, from sums over its prefixes."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, ids: np.ndarray):
+        h = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        power = np.cumprod(np.full(len(ids), self.BASE, dtype=np.uint64))
+        self.sums = np.r_[np.uint64(0), np.cumsum(h * power)]
+        self.back = np.r_[np.uint64(1), np.cumprod(np.full(len(ids), pow(self.BASE, -1, 1 << 64), dtype=np.uint64))]
+
+    def of(self, at: np.ndarray, n: int) -> np.ndarray:
+        return (self.sums[at + n] - self.sums[at]) * self.back[at]
+
+
 class Suffixes:
-    """The windows of a block of test items, by length: each distinct window's words as one byte string that
-    sorts as its words do, and where it stands in which items."""
+    """A block of test items: their words as numbers, a zero after each item, and which item each is in. What tasks search
+    for is worked out where it is used, once a worker, so that the driver holds the words only."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
+        self.window = window
         self.vocabulary: dict[bytes, int] = {}
         self.names: list[str] = []
-        found: dict[int, dict[tuple[int, ...], list[tuple[int, int]]]] = {}
+        ids, self.starts, at = [], [], 0
         for name, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            if not ids:
-                continue
-            n = min(window, len(ids))
-            for at in range(len(ids) - n + 1):
-                found.setdefault(n, {}).setdefault(tuple(ids[at : at + n]), []).append((len(self.names), at))
-            self.names.append(name)
-        self.by_length = {}
-        for n, windows in found.items():
-            keys = sorted(windows)
-            grid = np.array(keys, dtype=np.uint32)
-            allowed = np.zeros((n, len(self.vocabulary) + 1), dtype=bool)
-            for j in range(n):
-                allowed[j, grid[:, j]] = True
-            where = [windows[k] for k in keys]
-            flat = np.array([x for w in where for x in w], dtype=np.int64).reshape(-1, 2)
-            ends = np.cumsum([0] + [len(w) for w in where])
-            self.by_length[n] = (_as_bytes(grid), allowed, flat, ends)
+            found = words(text)
+            if found:
+                number = self.vocabulary.setdefault
+                ids.append(np.fromiter((number(w, len(self.vocabulary) + 1) for w in found), dtype=np.uint32, count=len(found)))
+                ids.append(np.zeros(1, dtype=np.uint32))
+                self.names.append(name)
+                self.starts.append(at)
+                at += len(found) + 1
+        self.flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.uint32)
+
+    @cached_property
+    def by_length(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By their length, the distinct windows in order, as byte strings that sort as their words do; the items
+        each is in, one after the other, and where each one's end. Items of fewer words than a window are one."""
+        starts = np.array(self.starts, dtype=np.int64)
+        sizes = np.diff(np.r_[starts, len(self.flat)]) - 1
+        out = {}
+        for n in sorted({int(x) for x in np.minimum(sizes, self.window)}):
+            mine = np.flatnonzero(np.minimum(sizes, self.window) == n)
+            many = sizes[mine] - n + 1
+            at = np.repeat(starts[mine] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            keys, key = np.unique(_as_bytes(self.flat[at[:, None] + np.arange(n)]), return_inverse=True)
+            both = np.unique(key.astype(np.int64) * len(self.names) + np.repeat(mine, many))
+            ends = np.searchsorted(both, np.arange(len(keys) + 1) * len(self.names))
+            out[n] = (keys, both % max(1, len(self.names)), ends)
+        return out
+
+    @cached_property
+    def order(self) -> np.ndarray:
+        """The suffix array of the test text, in which longest matches are looked up."""
+        rank = _doubled(self.flat, max(1, len(self.flat)))
+        return np.argsort(rank, kind="stable")[np.count_nonzero(self.flat == 0) :]
+
+    @cached_property
+    def prefixes(self) -> Prefixes:
+        return Prefixes(self.flat)
 
 
 def _as_bytes(grid: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(grid.astype(">u4")).view(f"S{4 * grid.shape[1]}").ravel()
 
 
-def longest_matches(texts: list[bytes], index: Suffixes) -> tuple[list[int], list[list[tuple[int, int, int, int]]]]:
-    """For one shard of texts: words in each, and each one's longest verbatim matches of at least a window,
-    as (item's number, first word in the text, first word in the item, words).
-
-    The shard's suffix array has its suffixes sorted by the words of a window. Only those are in it whose
-    words can each stand at that place of some window; the others match no test suffix. Every test suffix is
-    then found by two binary searches, and matches that run on are joined."""
+def _common(a: Prefixes, at_a: np.ndarray, most_a: np.ndarray, b: Prefixes, at_b: np.ndarray, most_b: np.ndarray) -> np.ndarray:
+    """How many words two stretches share from where they start, at most so many in each."""
+    n, most = np.zeros(len(at_a), dtype=np.int64), np.minimum(most_a, most_b)
+    step = 1 << max(0, int(most.max(initial=0)).bit_length() - 1)
+    while step:
+        go = np.flatnonzero(n + step <= most)
+        go = go[a.of(at_a[go] + n[go], step) == b.of(at_b[go] + n[go], step)]
+        n[go] += step
+        step //= 2
+    return n
+
+
+def _longest(index: Suffixes, flat: np.ndarray, spots: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each spot of a shard's text (room: words to its text's end) the longest match that starts there, with any
+    test suffix: where in the test text, and how many words; by binary search in the test's suffix array."""
+    mine, theirs, order = Prefixes(flat), index.prefixes, index.order
+    ends = np.flatnonzero(index.flat == 0)
+    left = ends[np.searchsorted(ends, order)] - order
+    low, high = np.zeros(len(spots), dtype=np.int64), np.full(len(spots), len(order))
+    while (low < high).any():
+        mid = np.minimum((low + high) // 2, len(order) - 1)
+        n = _common(mine, spots, room, theirs, order[mid], left[mid])
+        before = np.where(n < left[mid], index.flat[np.minimum(order[mid] + n, len(index.flat) - 1)], 0).astype(np.int64)
+        before = before < np.where(n < room, flat[np.minimum(spots + n, len(flat) - 1)], 0)
+        low, high = np.where((low < high) & before, mid + 1, low), np.where((low < high) & ~before, mid, high)
+    best, length = np.zeros(len(spots), dtype=np.int64), np.full(len(spots), -1)
+    for k in (low - 1, low):
+        k = np.clip(k, 0, len(order) - 1)
+        n = _common(mine, spots, room, theirs, order[k], left[k])
+        best, length = np.where(n > length, order[k], best), np.maximum(length, n)
+    return best, length
+
+
+def search(texts: list[bytes], index: Suffixes) -> list[tuple[int, list[tuple[int, int]], list[int], list[tuple[int, int, int, int]]]]:
+    """For each of a shard's texts: its number of words; the stretches of words that windows cover (first, words);
+    the numbers of the items whose windows it has; its longest verbatim matches (item's number, first word in the text, first word in
+    the item, words), of which none is within another.
+
+    The shard's suffix array has the suffixes of all its texts that start with a word of the test text (no others
+    can match), sorted by a window's words. Every test suffix is found in it by two binary searches, by its window."""
     get = index.vocabulary.get
     ids, counts = [], []
     for text in texts:
         found = words(text)
         counts.append(len(found))
-        ids.append(np.fromiter(map(get, found, [0] * len(found)), dtype=np.uint32, count=len(found)))
-    starts = np.zeros(len(texts) + 1, dtype=np.int64)
-    np.cumsum([n + 1 for n in counts], out=starts[1:])  # a zero after each text keeps windows within it
-    flat = np.zeros(max(1, int(starts[-1])), dtype=np.uint32)
-    for at, x in zip(starts, ids, strict=False):
-        flat[at : at + len(x)] = x
-    parts = []
-    for n, (keys, allowed, where, ends) in index.by_length.items():
-        at = np.flatnonzero(allowed[0][flat[: max(0, len(flat) - n + 1)]])
-        for j in range(1, n):
-            at = at[allowed[j][flat[at + j]]]
-        if not len(at):
-            continue
-        suffix = _as_bytes(flat[at[:, None] + np.arange(n)])
-        order = np.argsort(suffix, kind="stable")
-        suffix, at = suffix[order], at[order]
-        low, high = np.searchsorted(suffix, keys, "left"), np.searchsorted(suffix, keys, "right")
-        hit = np.flatnonzero(high > low)
-        for k in hit:
-            spots, places = at[low[k] : high[k]], where[ends[k] : ends[k + 1]]
-            grid = np.empty((len(spots) * len(places), 4), dtype=np.int64)
-            grid[:, 0] = np.repeat(spots, len(places))
-            grid[:, 1:3] = np.tile(places, (len(spots), 1))
-            grid[:, 3] = n
-            parts.append(grid)
-    out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
-    if parts:
-        rows = np.concatenate(parts)
-        spot, item, place, n = rows.T
-        order = np.lexsort((spot, spot - place, item))
-        spot, item, place, n = spot[order], item[order], place[order], n[order]
-        runs = np.flatnonzero(
-            np.r_[True, (np.diff(item) != 0) | (np.diff(spot - place) != 0) | (np.diff(spot) != 1)]
-        )
-        last = np.r_[runs[1:], len(spot)] - 1
-        doc = np.searchsorted(starts, spot[runs], "right") - 1
-        for d, i, s, p, m in zip(doc, item[runs], spot[runs] - starts[doc], place[runs], spot[last] - spot[runs] + n[runs], strict=True):
-            out[d].append((int(i), int(s), int(p), int(m)))
-    return counts, out
+        ids.append(np.fromiter(map(get, found, repeat(0)), dtype=np.uint32, count=len(found)))
+        ids.append(np.zeros(1, dtype=np.uint32))
+    starts = np.cumsum([0] + [n + 1 for n in counts])
+    flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.uint32)
+    covered, holds = np.zeros(len(flat) + 1, dtype=np.int32), [np.zeros(0, dtype=np.int64)]
+    begins = [np.zeros(0, dtype=np.int64)]
+    if len(index.names) and len(flat):
+        rank = _doubled(flat, index.window)
+        array = np.argsort(rank, kind="stable")[np.count_nonzero(flat == 0) :]
+        padded = np.r_[flat, np.zeros(index.window, dtype=np.uint32)]
+        for n, (keys, items, ends) in index.by_length.items():
+            suffixes = _as_bytes(_window(padded, array, n))
+            low, high = np.searchsorted(suffixes, keys, "left"), np.searchsorted(suffixes, keys, "right")
+            for k in np.flatnonzero(high > low).tolist():
+                spots = array[low[k] : high[k]]
+                np.add.at(covered, spots, 1)
+                np.add.at(covered, spots + n, -1)
+                begins.append(spots)
+                docs = np.unique(np.searchsorted(starts, spots, "right") - 1)
+                holds.append((docs[:, None] * len(index.names) + items[ends[k] : ends[k + 1]]).ravel())
+                if sum(map(len, holds[1:])) > 1 << 20:
+                    holds = [holds[0], np.unique(np.concatenate(holds))]
+    out = [(n, [], [], []) for n in counts]
+    hit = np.cumsum(covered[:-1]) > 0
+    if hit.any():
+        edges = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8))).reshape(-1, 2)
+        for a, b in edges.tolist():
+            d = int(np.searchsorted(starts, a, "right")) - 1
+            out[d][1].append((a - int(starts[d]), b - a))
+        for x in np.unique(np.concatenate(holds)).tolist():
+            out[x // len(index.names)][2].append(x % len(index.names))
+        spots = np.unique(np.concatenate(begins))
+        doc = np.searchsorted(starts, spots, "right") - 1
+        where, length = _longest(index, flat, spots, starts[doc + 1] - 1 - spots)
+        reach = np.r_[0, np.maximum.accumulate(spots + length)[:-1]]
+        item_starts = np.array(index.starts, dtype=np.int64)
+        for k in np.flatnonzero(spots + length > reach).tolist():
+            d, item = int(doc[k]), int(np.searchsorted(item_starts, where[k], "right")) - 1
+            out[d][3].append((item, int(spots[k] - starts[d]), int(where[k] - item_starts[item]), int(length[k])))
+    return out
+
+
+def _window(padded: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    return padded[at[:, None] + np.arange(n)]
+
+
+_SPAN = pa.struct([("first", pa.int64()), ("words", pa.int64())])
+_MATCH = pa.struct([("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("words", pa.int64())])
+_FOUND = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(_SPAN)), ("items", pa.list_(pa.string())), ("matches", pa.list_(_MATCH))])
+_DDL = (
+    "struct<n_words: bigint, spans: array<struct<first: bigint, words: bigint>>, items: array<string>, "
+    "matches: array<struct<item_id: string, doc_word: bigint, item_word: bigint, words: bigint>>>"
+)
 
 
-_MATCH = pa.struct([("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("words", pa.int64())])
-_DDL = "struct<n_words: bigint, matches: array<struct<item_id: string, doc_word: bigint, item_word: bigint, words: bigint>>>"
+def _blocks(items: DataFrame, window: int, block_bytes: int) -> Iterator[Suffixes]:
+    """The test items in blocks of at most about block_bytes of text, by the hash of their id."""
+    size = items.agg(F.sum(F.length("text") + 64)).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    for k in range(blocks):
+        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items
+        yield Suffixes([tuple(r) for r in part.sort("item_id", "text").collect()], window)
 
 
-def annotate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = 32 << 20) -> tuple[DataFrame, str]:
-    """docs with one more column (its name is returned, and is none of docs'): n_words, and matches, the
-    longest verbatim matches with items (item_id, text) of at least a window of words, or a whole item of
-    fewer: the item, the first word in the document and in the item, and the number of words.
+def annotate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = 4 << 20) -> tuple[DataFrame, str]:
+    """docs with one more column (its name is returned, and is none of docs'): n_words; spans, the stretches of words
+    that windows of items (item_id, text) cover; items, the ids of the items whose windows the text has; matches, the longest
+    verbatim matches: the item, the first word in the document and in the item, and the number of words. A window is
+    `window` words, or a whole item of fewer.
 
-    The test items are read in blocks of at most about block_bytes of text, each of which is broadcast; with
-    more test text than that, documents pass through one step a block. Training text stays where it is:
-    each Arrow batch is a shard with its own suffix array, so that nothing is shuffled, and a passage found
-    in any number of documents costs each of them its own matches only.
+    Training text stays where it is: each piece of an Arrow batch is a shard with its own suffix array, so that nothing
+    is shuffled, and a passage found in any number of documents costs each of them its own matches only.
+    The test items are read in blocks of at most about block_bytes of text (an item is not cut), each of which is broadcast. If
+    there are several, each one's matches are written, and the broadcast freed, before the next: what is found is joined to
+    the documents by a hash of their id and text.
 
     Null texts and texts of no words match nothing. A null item_id counts as the empty string; rows that
     share an item_id are one item with several texts. Repeated documents each have their matches. Empty
@@ -130,46 +240,75 @@ def annotate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_byte
     items = items.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("binary").alias("text")
     ).filter("text IS NOT NULL")
-    size = items.agg(F.sum(F.length("text") + 64)).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    name = "_found"
-    while name.lower() in {c.lower() for c in docs.columns}:
-        name += "_"
+    name = free_name(docs, "_found")
     raw = name + "raw"
-    empty = F.lit(None).cast(_DDL)
-    out = docs.withColumn(raw, F.coalesce(F.col("text"), F.lit("")).cast("binary")).withColumn(name, empty)
-    for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items
-        index = spark.sparkContext.broadcast(Suffixes([tuple(r) for r in part.sort("item_id", "text").collect()], window))
-        out = out.mapInArrow(_step(index, raw, name), out.schema)
-    return out.drop(raw), name
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    parts, several = [], False
+    for index in _blocks(items, window, block_bytes):
+        if parts:  # there are more blocks: write what the one before finds, and let go of it
+            several = True
+            parts[-1] = _written(*parts[-1])
+        held = spark.sparkContext.broadcast(index)
+        parts.append((docs, text, held))
+    if not several:
+        ready = docs.withColumn(raw, text).withColumn(name, F.lit(None).cast(_DDL))
+        return ready.mapInArrow(_step(parts[0][2], raw, name), ready.schema).drop(raw), name
+    parts[-1] = _written(*parts[-1])
+    key, tie = free_name(docs, name + "key"), free_name(docs, name + "tie")
+    found = reduce(DataFrame.unionByName, parts).groupBy("k1", "k2").agg(
+        F.max("found.n_words").alias("n"),
+        F.flatten(F.collect_list("found.spans")).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("found.items")))).alias("items"),
+        F.flatten(F.collect_list("found.matches")).alias("matches"),
+    )
+    found = found.select(F.col("k1").alias(key), F.col("k2").alias(tie), F.struct(F.col("n").alias("n_words"), "spans", "items", "matches").alias(name))
+    one, two = _keys(text)
+    n = F.regexp_count(F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER), F.lit(WORD)).cast("long")
+    none = F.struct(n.alias("n_words"), *(F.from_json(F.lit("[]"), t).alias(c) for c, t in (("spans", "array<struct<first: bigint, words: bigint>>"), ("items", "array<string>"), ("matches", "array<struct<item_id: string, doc_word: bigint, item_word: bigint, words: bigint>>"))))
+    out = docs.withColumn(key, one).withColumn(tie, two).join(found, [key, tie], "left").withColumn(name, F.coalesce(name, none))
+    return out.select(*docs.columns, name), name
+
+
+def _keys(text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(text), F.xxhash64(F.lit("second"), text)
+
+
+def _written(docs: DataFrame, text: Column, held) -> DataFrame:
+    """k1, k2, found: what one block of items finds in the distinct texts that have any of it, written."""
+    one, two = _keys(text)
+    rows = docs.select(one.alias("k1"), two.alias("k2"), text.alias("text"), F.lit(None).cast(_DDL).alias("found"))
+    found = rows.mapInArrow(_step(held, "text", "found", True), rows.schema).drop("text").dropDuplicates(["k1", "k2"])
+    out = cut(found, "found")
+    held.unpersist()
+    return out
 
 
-def _step(index, raw: str, name: str):
+def _step(index, raw: str, name: str, hits_only: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = index.value.names
-        for batch in small(batches):
+        for batch in small(batches, 512):
             at = batch.schema.get_field_index(name)
-            before = batch.column(at).to_pylist()
-            counts, found = longest_matches(batch.column(batch.schema.get_field_index(raw)).to_pylist(), index.value)
             rows = [
                 {
                     "n_words": n,
-                    "matches": (b["matches"] if b else [])
-                    + [{"item_id": names[i], "doc_word": s, "item_word": p, "words": m} for i, s, p, m in f],
+                    "spans": [{"first": a, "words": m} for a, m in spans],
+                    "items": [names[i] for i in items],
+                    "matches": [{"item_id": names[i], "doc_word": s, "item_word": p, "words": m} for i, s, p, m in matches],
                 }
-                for n, f, b in zip(counts, found, before, strict=True)
+                for n, spans, items, matches in search(batch.column(batch.schema.get_field_index(raw)).to_pylist(), index.value)
             ]
             columns = list(batch.columns)
-            columns[at] = pa.array(rows, type=pa.struct([("n_words", pa.int64()), ("matches", pa.list_(_MATCH))]))
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            columns[at] = pa.array(rows, type=_FOUND)
+            out = pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            yield out.filter(pa.array([bool(r["spans"]) for r in rows])) if hits_only else out
 
     return run
 
 
-def hit_words(matches):
-    """The number of words within any match: the matches sorted, and each one's words beyond those before."""
-    spans = F.array_sort(F.transform(matches, lambda m: F.struct(m["doc_word"].alias("a"), (m["doc_word"] + m["words"]).alias("b"))))
+def hit_words(spans):
+    """The number of words within any span: the spans sorted, and each one's words beyond those before (spans of several
+    blocks of items may overlap)."""
+    spans = F.array_sort(F.transform(spans, lambda m: F.struct(m["first"].alias("a"), (m["first"] + m["words"]).alias("b"))))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
     step = lambda s, x: F.struct(
         (s["n"] + F.greatest(F.lit(0).cast("long"), x["b"] - F.greatest(s["to"], x["a"]))).alias("n"),
@@ -181,14 +320,13 @@ def hit_words(matches):
 def decontaminate(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """docs without those that hold a window of an item: the columns and other rows of docs as they were."""
     found, name = annotate(docs, items, **how)
-    return found.filter(F.size(f"{name}.matches") == 0).select(*docs.columns)
+    return found.filter(F.size(f"{name}.spans") == 0).select(*docs.columns)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, name = annotate(texts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
-    matches = F.col(f"{name}.matches")
-    ids = F.array_sort(F.array_distinct(F.transform(matches, lambda m: m["item_id"])))
-    return found.select("doc_id", F.col(f"{name}.n_words").alias("n_words"), hit_words(matches).alias("n_hit"), ids.alias("ids")).select(
+    found = found.select("doc_id", F.col(f"{name}.n_words").alias("n_words"), hit_words(F.col(f"{name}.spans")).alias("n_hit"), F.array_sort(F.array_distinct(f"{name}.items")).alias("ids"))
+    return found.select(
         "doc_id",
         "n_words",
         "n_hit",

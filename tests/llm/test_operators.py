@@ -236,9 +236,8 @@ def test_decontaminate(spark, docs, empty):
     for block in (1 << 20, 100):  # in one block, and in several
         found, name = decontaminate.annotate(docs, bench, block_bytes=block)
         assert name not in docs.columns
-        m = F.col(f"{name}.matches")
-        ids = F.array_join(F.array_sort(F.array_distinct(F.transform(m, lambda x: x["item_id"]))), ",")
-        got = [tuple(r) for r in found.select(F.col(f"{name}.n_words"), decontaminate.hit_words(m), ids).collect()]
+        ids = F.array_join(F.array_sort(F.array_distinct(f"{name}.items")), ",")
+        got = [tuple(r) for r in found.select(F.col(f"{name}.n_words"), decontaminate.hit_words(F.col(f"{name}.spans")), ids).collect()]
         assert sorted(got) == sorted(want)
     clean = decontaminate.decontaminate(docs, bench)
     assert clean.columns == docs.columns and clean.count() == sum(not h for _, h, _ in want)
@@ -246,11 +245,59 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == docs.count()
 
 
-def test_longest_matches_run_on():
+def test_longest_matches():
+    """Against all pairs of places, on texts of few distinct words, so that windows and suffixes recur."""
     index = decontaminate.Suffixes([("a", b" ".join(b"w%d" % i for i in range(30)))], 10)
     text = b"x y " + b" ".join(b"w%d" % i for i in range(5, 25)) + b" z"
-    counts, found = decontaminate.longest_matches([text, b""], index)
-    assert counts == [23, 0] and found == [[(0, 2, 5, 20)], []]
+    assert decontaminate.search([text, b""], index) == [(23, [(2, 20)], [0], [(0, 2, 5, 20)]), (0, [], [], [])]
+    draw = np.random.default_rng(8)
+    some = lambda n: b" ".join(b"%c" % (97 + k) for k in draw.integers(0, 2, n))
+    items = [("a", some(40)), ("b", some(25)), ("c", some(3)), ("d", b""), ("e", b"a " * 30)]
+    texts = [some(n) for n in (60, 0, 2, 35)] + [b"zz " + b"a " * 50 + b"zz"]
+    index = decontaminate.Suffixes(items, 4)
+    item_words = [t.split() for _, t in items if t]
+    for text, (n, spans, held, matches) in zip(texts, decontaminate.search(texts, index), strict=True):
+        w, hit, want, longest = text.split(), set(), set(), []
+        for i, x in enumerate(item_words):
+            size = min(4, len(x))
+            for p in range(len(x) - size + 1):
+                for k in range(len(w) - size + 1):
+                    if w[k : k + size] == x[p : p + size]:
+                        hit |= set(range(k, k + size))
+                        want.add(i)
+        for k in range(len(w)):
+            best = 0
+            for x in item_words:
+                for p in range(len(x)):
+                    m = 0
+                    while k + m < len(w) and p + m < len(x) and w[k + m] == x[p + m]:
+                        m += 1
+                    best = max(best, m)
+            if any(w[k : k + min(4, len(x))] == x[p : p + min(4, len(x))] for x in item_words for p in range(len(x) - min(4, len(x)) + 1)):
+                longest.append((k, best))
+        reach, maximal = 0, []
+        for k, m in longest:
+            if k + m > reach:
+                maximal.append((k, m))
+                reach = k + m
+        assert n == len(w) and {k for a, m in spans for k in range(a, a + m)} == hit and set(held) == want
+        assert [(s, m) for _, s, _, m in matches] == maximal
+        assert all(w[s : s + m] == item_words[i][p : p + m] for i, s, p, m in matches)
+
+
+def test_repeated_words_and_much_test_text_stay_small():
+    """A text and an item of one word 20,000 times, and two megabytes of distinct words as test text."""
+    import tracemalloc
+
+    tracemalloc.start()
+    index = decontaminate.Suffixes([("a", b"word " * 20_000)], 10)
+    ((n, spans, items, matches),) = decontaminate.search([b"word " * 20_000], index)
+    assert (n, spans, items, matches) == (20_000, [(0, 20_000)], [0], [(0, 0, 0, 20_000)])
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.reset_peak()
+    decontaminate.Suffixes([(str(k), b" ".join(b"%d" % x for x in range(k * 20_000, k * 20_000 + 20_000))) for k in range(15)], 10)
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
 
 
 def test_mixing(spark, docs, empty):
