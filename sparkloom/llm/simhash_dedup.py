@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import components, cut, discard, small, table, texts
+from ._shared import components, cut, free_name, small, table, texts
 
 #: Pairs of fingerprints that are compared at once: what they need stays in a core's cache.
 _AT_ONCE = 1 << 16
@@ -207,48 +207,38 @@ def near_links(
 
 def _blocks(cells: dict[tuple[int, int], int], rows: int, radius: int) -> tuple[list, list]:
     """cells: fingerprints by the population counts of their halves, or by the step of their size and 0. Deals
-    the cells, by total and then first part, to blocks of about rows; a larger cell gets several. Returns each
-    cell's first block and number of blocks, and the pairs of blocks of which some cells are within the radius."""
-    where, members, room = [], [], 0
+    the cells, by total and then first part, to blocks of about rows; a larger cell gets a run of several. Returns each
+    cell's first block and number of blocks, and the pairs of runs (a block that several cells share is a run of one) of
+    which some cells are within the radius, as both runs' first block and number of blocks."""
+    where, runs, room = [], [], 0
     for (low, high), n in sorted(cells.items(), key=lambda c: (sum(c[0]), c[0][0])):
-        if n > rows:
-            k = -(-n // rows)
-            where.append((low, high, len(members), k))
-            members += [[(low, high)] for _ in range(k)]
-            room = 0
-        else:
-            if room < n:
-                members.append([])
-                room = rows
-            members[-1].append((low, high))
-            where.append((low, high, len(members) - 1, 1))
-            room -= n
-    grids = [np.array(m) for m in members]
+        if n > rows or room < n:
+            at = runs[-1][0] + runs[-1][1] if runs else 0
+            runs.append((at, -(-n // rows) if n > rows else 1, []))
+            room = 0 if n > rows else rows
+        runs[-1][2].append((low, high))
+        where.append((low, high, runs[-1][0], runs[-1][1]))
+        room -= min(n, room)
+    grids = [np.array(cells) for _, _, cells in runs]
     pairs = [
-        (i, j)
-        for i in range(len(members))
-        for j in range(i, len(members))
+        (*runs[i][:2], *runs[j][:2])
+        for i in range(len(runs))
+        for j in range(i, len(runs))
         if (np.abs(grids[i][:, None, :] - grids[j][None, :, :]).sum(axis=2) <= radius).any()
     ]
     return where, pairs
 
 
-def node_of(names: list[str]) -> Column:
-    return F.col(names[0]) if len(names) == 1 else F.xxhash64(*names)
+def linked(prints: DataFrame, radius: int, lanes: int = 1, share: float | None = None, block_rows: int = 32768) -> DataFrame:
+    """prints, distinct rows of node (its own number), f0 ... (and n, if a share is given): node and the root of
+    its component, for those linked with another: they differ in at most radius bits, and the lesser n is at least `share`
+    of the greater.
 
-
-def linked(
-    prints: DataFrame, radius: int, lanes: int = 1, share: float | None = None, block_rows: int = 32768, most_blocks: int = 512
-) -> DataFrame:
-    """prints, distinct rows of f0 ... (and of n, if a share is given): node (each one's hash; with one lane
-    and no n the fingerprint itself) and the root of its component, for those linked with another: they
-    differ in at most radius bits, and the lesser n is at least `share` of the greater.
-
-    Fingerprints are put in blocks by the population counts of the first lane's halves, or by n, in steps of
+    Fingerprints are put in blocks of block_rows by the population counts of the first lane's halves, or by n, in steps of
     which STEPS make the share; their histogram, of at most 33 x 33 rows, or one a step (1,500 up to a
-    billion), comes to the driver, and gives the blocks and the pairs of blocks to compare.
-    Blocks have block_rows fingerprints, or more where that would make more than about most_blocks of them;
-    so the list of pairs is bounded, and a block is sent once for each block it may have links with. A
+    billion), comes to the driver, and gives runs of blocks, and the pairs of runs to compare; pairs of blocks are made of these in
+    tasks. Each pair of blocks meets in one row, so a task holds two blocks at a time, whatever the number of
+    fingerprints; a block is sent once for each block it may have links with. A
     pair's links leave its task as a spanning forest: a group of k near copies gives k rows, not k squared.
     """
     spark = prints.sparkSession
@@ -258,10 +248,9 @@ def linked(
         low, high, reach = F.bit_count(F.col("f0").bitwiseAND(F.lit(0xFFFFFFFF))), F.bit_count(F.shiftrightunsigned("f0", 32)), radius
     else:  # one step more, as logarithms are rounded
         low, high, reach = F.floor(F.log("n") * (STEPS / -math.log(share))).cast("int"), F.lit(0), STEPS + 1
-    cells = prints.select(low.alias("low"), high.alias("high"), node_of(fields).alias("node"), *fields)
+    cells = prints.select(low.alias("low"), high.alias("high"), "node", *fields)
     histogram = {(r["low"], r["high"]): r["count"] for r in cells.groupBy("low", "high").count().collect()}
-    rows = max(block_rows, -(-sum(histogram.values()) // most_blocks))
-    where, pairs = _blocks(histogram, rows, reach)
+    where, pairs = _blocks(histogram, block_rows, reach)
     if not pairs:
         return spark.createDataFrame([], "node long, root long")
     place = spark.createDataFrame(where, "low int, high int, first int, k int")
@@ -271,11 +260,18 @@ def linked(
         .groupBy(block.alias("block"))
         .agg(F.collect_list(F.struct("node", *fields)).alias("rows"))
     )
-    sides = [(p, i, s) for p, ij in enumerate(pairs) for s, i in enumerate(ij) if s == 0 or ij[0] != ij[1]]
+    of_run = lambda first, k: F.explode(F.sequence(F.col(first), F.col(first) + F.col(k) - 1))
+    both = spark.createDataFrame(pairs, "a int, ka int, b int, kb int").select(of_run("a", "ka").alias("i"), "b", "kb")
+    both = both.select("i", of_run("b", "kb").alias("j")).filter("i <= j")
+    side = lambda name, k: F.struct(F.col(name).alias("block"), F.lit(k).alias("side"))
+    one, two = side("i", 0), side("j", 1)
+    sides = both.select("i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(one)).otherwise(F.array(one, two))).alias("s"))
+    tasks = max(12, min(sum(ka * kb for _, ka, _, kb in pairs), 20000))
     work = (
-        blocks.join(spark.createDataFrame(sides, "pair int, block int, side int"), "block")
-        .repartition(max(12, min(len(pairs), 20000)), "pair")
-        .groupBy("pair")
+        sides.select("i", "j", "s.block", "s.side")
+        .join(blocks, "block")
+        .repartition(tasks, "i", "j")
+        .groupBy("i", "j")
         .agg(F.sort_array(F.collect_list(F.struct("side", "rows"))).alias("sides"))
         .select(F.col("sides")[0]["rows"].alias("a"), F.get("sides", F.lit(1))["rows"].alias("b"))
     )
@@ -288,7 +284,7 @@ def linked(
             numbers = {n: struct.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("node", *fields)}
             return numbers["node"], np.stack([numbers[n].view(np.uint64) for n in names], axis=1), numbers.get("n")
 
-        for batch in small(batches):
+        for batch in batches:
             for i in range(batch.num_rows):
                 (ids, a, n), right = grid(batch.column(0), i), grid(batch.column(1), i)
                 sizes = None if share is None else (n, right[2] if right else None)
@@ -299,7 +295,9 @@ def linked(
     return components(work.mapInArrow(run, "a long, b long"))
 
 
-def near_dedup(docs: DataFrame, words: int = 4, radius: int = 4, lanes: int = 1, share: float | None = None) -> DataFrame:
+def near_dedup(
+    docs: DataFrame, words: int = 4, radius: int = 4, lanes: int = 1, share: float | None = None, block_rows: int = 32768
+) -> DataFrame:
     """doc_id, f0 ... (the fingerprint), component_id: the smallest doc_id of the documents that links of at
     most radius differing bits lead to, itself included; one row per row of docs. With a share, the
     lesser number of distinct shingles must also be at least that of the greater in a link.
@@ -313,13 +311,12 @@ def near_dedup(docs: DataFrame, words: int = 4, radius: int = 4, lanes: int = 1,
     names = [f"f{i}" for i in range(lanes)]
     fields = names if share is None else [*names, "n"]
     rows = cut(fingerprint_table(docs, words, lanes).select("doc_id", *fields), "fingerprints")
-    prints = cut(rows.groupBy(*fields).agg(F.min("doc_id").alias("least")), "prints")
-    node = node_of(fields)
-    groups = linked(prints.select(*fields), radius, lanes, share)
-    least = prints.select(node.alias("node"), "least")
-    group_least = groups.join(least, "node").groupBy("root").agg(F.min("least").alias("group_least"))
+    prints = rows.groupBy(*fields).agg(F.min("doc_id").alias("least"))
+    prints = cut(prints.withColumn("node", F.monotonically_increasing_id()), "prints")
+    groups = linked(prints.select("node", *fields), radius, lanes, share, block_rows)
+    group_least = groups.join(prints.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("group_least"))
     groups = groups.join(group_least, "root").select("node", "group_least")
-    named = prints.withColumn("node", node).join(groups, "node", "left")
+    named = prints.join(groups, "node", "left")
     named = named.select(*fields, F.coalesce("group_least", "least").alias("component_id"))
     return rows.join(named, fields).select("doc_id", *names, "component_id")
 
@@ -330,13 +327,17 @@ def drop_near(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: i
     Shingles of five words and a similarity of 0.8, as the cosine that fingerprints estimate: differing bits
     are to all bits as the angle is to half a circle. Four lanes of 64 bits tell this apart from chance,
     which one lane can't at that radius. Sets of a and b shingles have a cosine of at most the root of a / b; so
-    those of which a is below similarity squared of b are not compared. Of rows that share an id one stays; rows without an id all stay."""
+    those of which a is below similarity squared of b are not compared.
+
+    Null texts are empty, and empty texts near copies of each other. Of rows that share an id one stays; rows without an id all
+    stay. An empty table gives no rows; columns of any name are kept as they are."""
     radius = int(64 * lanes * math.acos(similarity) / math.pi)
     names = [f"f{i}" for i in range(lanes)]
     found = near_dedup(docs, words, radius, lanes, similarity**2).drop(*names).filter("doc_id IS NOT NULL")
     found = cut(found.groupBy("doc_id").agg(F.min("component_id").alias("component"), F.count("*").alias("rows")), "components")
-    gone = found.filter("component <> doc_id").select(F.col("doc_id").alias("_gone"))
-    stay = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    key = free_name(docs, "_gone")
+    gone = found.filter("component <> doc_id").select(F.col("doc_id").alias(key))
+    stay = docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")
     if found.filter("rows > 1").isEmpty():
         return stay
     return stay.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(stay.filter("doc_id IS NULL"))

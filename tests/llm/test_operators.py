@@ -88,6 +88,14 @@ def test_simhash(docs, empty):
     assert simhash_dedup.near_dedup(empty).count() == 0
 
 
+def test_blocks_of_any_number_give_the_same_components(spark, sf):
+    all_ = spark.read.parquet(f"{sf}/documents.parquet")
+    run = lambda n, **how: sorted(map(tuple, simhash_dedup.near_dedup(all_, block_rows=n, **how).select("doc_id", "component_id").collect()))
+    assert run(20) == run(32768)
+    wide = {"words": 5, "radius": 52, "lanes": 4, "share": 0.64}
+    assert run(20, **wide) == run(32768, **wide)
+
+
 def test_tiles_find_every_link():
     draw = np.random.default_rng(1)
     base = draw.integers(0, 2**63, 60, dtype=np.uint64)
@@ -156,7 +164,7 @@ def test_blocks_cover_sizes():
     cells = Counter((step(n), 0) for n in range(1, 3000))
     where, pairs = simhash_dedup._blocks(cells, 50, simhash_dedup.STEPS + 1)
     place = {lo: range(f, f + k) for lo, _, f, k in where}
-    have = {frozenset(p) for p in pairs}
+    have = {frozenset((i, j)) for a, ka, b, kb in pairs for i in range(a, a + ka) for j in range(b, b + kb)}
     for n in (*range(1, 400), 2000):
         assert all(frozenset((i, j)) in have for i in place[step(n)] for j in place[step(math.floor(n / 0.8))])
 
@@ -165,7 +173,7 @@ def test_blocks_cover_all_near_cells():
     cells = {(a, b): 7 + a for a in range(10, 22) for b in range(10, 22)}
     where, pairs = simhash_dedup._blocks(cells, 40, 4)
     place = {(lo, hi): range(f, f + k) for lo, hi, f, k in where}
-    have = {frozenset(p) for p in pairs}
+    have = {frozenset((i, j)) for a, ka, b, kb in pairs for i in range(a, a + ka) for j in range(b, b + kb)}
     for x, y in itertools.combinations_with_replacement(cells, 2):
         if abs(x[0] - y[0]) + abs(x[1] - y[1]) <= 4:
             assert all(frozenset((i, j)) in have for i in place[x] for j in place[y])
@@ -174,7 +182,9 @@ def test_blocks_cover_all_near_cells():
 def test_components(spark):
     draw = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in draw.integers(0, 120, (90, 2))] + [(500 + i, 501 + i) for i in range(40)] + [(5, 5)]
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    df = spark.createDataFrame(edges, "a long, b long")
+    got, again = ({r["node"]: r["root"] for r in components(df, n).collect()} for n in (1 << 20, 30))
+    assert got == again
     root = {}
 
     def find(x):
@@ -192,6 +202,8 @@ def test_drop_near(docs, empty):
     ids = sorted(r["doc_id"] or -1 for r in simhash_dedup.drop_near(docs).collect())
     assert ids.count(7) == 1 and 1 in ids and 3 not in ids and -1 in ids and 5 not in ids and 4 in ids
     assert simhash_dedup.drop_near(empty).count() == 0
+    clash = docs.withColumn("_gone", F.lit("mine"))
+    assert simhash_dedup.drop_near(clash).columns == clash.columns
 
 
 def test_line_dedup(docs, empty):
