@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import WORD, cut, table, texts
+from ._shared import WORD, cut, free_name, global_rank, table, texts
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -34,48 +32,66 @@ def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, most: int =
     return out
 
 
-def offset(source: str | None, seed: int) -> float:
+def offset(source: Column, seed: int) -> Column:
     """The source's random offset, a multiple of 2**-16 in [0, 1), so that sums with whole numbers are exact."""
-    name = b"\x00null" if source is None else b"\x01" + source.encode()
-    return int.from_bytes(hashlib.sha256(b"%d:" % seed + name).digest()[:2], "big") / 65536
+    name = F.when(source.isNull(), F.lit("\x00null")).otherwise(F.concat(F.lit("\x01"), source))
+    digits = F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), name), 256), 1, 4)
+    return F.conv(digits, 16, 10).cast("double") / 65536
+
+
+def goals(per: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, at_once: int = 100_000) -> DataFrame:
+    """idx, name, source_size, target of each of per's sources (source, n): see targets(). Up to at_once sources are worked
+    out by the driver, more in rounds of sums over the table of sources: the same steps, with the same results."""
+    if len(rows := per.limit(at_once + 1).collect()) <= at_once:
+        rows = sorted(rows, key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
+        found = targets([r["n"] for r in rows], weights, most)
+        table_ = [(i, r["source"], r["n"], t) for i, (r, t) in enumerate(zip(rows, found, strict=True))]
+        return F.broadcast(per.sparkSession.createDataFrame(table_, "idx long, name string, source_size long, target double"))
+    ranked = global_rank(per, F.col("source").asc_nulls_last(), name="idx")
+    w = F.get(F.array(*(F.lit(float(x)) for x in weights)), (F.col("idx") % len(weights)).cast("int"))
+    ranked = cut(ranked.withColumn("w", w), "sources")
+    n, total = ranked.agg(F.sum("n"), F.sum("w")).first()
+    left, stopped, limit = float(n), -1, most * F.col("n")
+    while True:
+        share = F.lit(left) * F.col("w") / F.lit(total)
+        stops = F.lit(total == 0) | (share > limit)
+        k, taken, still = ranked.agg(F.count_if(stops), F.sum(F.when(stops, limit)), F.sum(F.when(~stops, F.col("w")))).first()
+        if k == stopped or total == 0:
+            break
+        left, total, stopped = float(n) - float(taken or 0), still or 0.0, k
+    target = F.when(stops, limit.cast("double")).otherwise(share)
+    return ranked.select("idx", F.col("source").alias("name"), F.col("n").alias("source_size"), target.alias("target"))
 
 
 def mix_plan(
-    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 42, max_sources: int = 100_000
+    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 42, at_once: int = 100_000
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target (its source's), copies; one row per row of docs.
+    """doc_id, source, tid (a hash of the text), size, source_size, target (its source's), copies; one row per row of docs.
 
     size is a text's number of words (null: 0). In the order of (size, doc_id) within a source, each document
     is expected target / source_size times; these are summed up, the source's random offset is added, and
     a document is taken once for each whole number its stretch crosses. As neighbours in that order are of
     like size, the words taken come within about the largest document of the target. Reruns agree.
 
-    The order is a range sort by (source, size, doc_id), so that a source with most rows is spread over
-    many tasks; each task's first position within a source is a sum over a table of tasks and sources.
-    Per-source totals come to the driver: more than max_sources sources raise ValueError.
+    The order is a range sort by (source, size, doc_id, tid), so that a source with most rows, or rows without id, are spread
+    over many tasks; each task's first position within a source is a sum over a table of tasks and sources.
+    The table of sources is broadcast up to at_once rows, and joined as a table beyond.
 
     Sources go by code point, a null source last. Rows that share a doc_id are each a document. Empty
     tables give no rows; documents of no words have size 0. Other columns are ignored.
     """
-    spark = docs.sparkSession
     sizes = cut(
         texts(docs, F.col("source").cast("string").alias("source")).select(
-            "doc_id", "source", F.regexp_count("text", F.lit(WORD)).cast("long").alias("size")
+            "doc_id", "source", F.xxhash64("text").alias("tid"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("size")
         ),
         "sizes",
     )
-    per = sizes.groupBy("source").agg(F.sum("size").alias("n")).limit(max_sources + 1).collect()
-    if len(per) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    per = sorted(per, key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    goals = targets([r["n"] for r in per], weights, most)
-    rows = [
-        (i, r["source"], r["n"], t, min(float(most), t / r["n"]) if r["n"] else 0.0, offset(r["source"], seed))
-        for i, (r, t) in enumerate(zip(per, goals, strict=True))
-    ]
-    goal = spark.createDataFrame(rows, "idx long, name string, source_size long, target double, rate double, u double")
-    numbered = sizes.join(F.broadcast(goal), F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    keys = ["idx", "size", "doc_id"]
+    per = sizes.groupBy("source").agg(F.sum("size").alias("n"))
+    rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(0.0)
+    goal = goals(per, weights, most, at_once)
+    numbered = sizes.join(goal, F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    numbered = numbered.withColumn("rate", rate).withColumn("u", offset(F.col("source"), seed))
+    keys = ["idx", "size", "doc_id", "tid"]
     ranked = cut(
         numbered.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()),
         "ranked",
@@ -90,22 +106,40 @@ def mix_plan(
     rank = F.col("base") + F.col("at") - F.col("head")
     crossed = F.floor((rank + 1) * F.col("rate") + F.col("u")) - F.floor(rank * F.col("rate") + F.col("u"))
     return ranked.join(cells, ["idx", "task"]).select(
-        "doc_id", "source", "size", "source_size", "target", crossed.cast("int").alias("copies")
+        "doc_id", "source", "tid", "size", "source_size", "target", crossed.cast("int").alias("copies")
     )
 
 
-def mix(docs: DataFrame, **how) -> DataFrame:
+def mix(docs: DataFrame, most: int = MOST_COPIES, **how) -> DataFrame:
     """docs, each row as often as mix_plan says, and the number of the copy (from 1) in copy, which takes the place
-    of a column of that name. A text moves once. Rows that share an id, a source and a size get the copies
-    that the plan has for these, the most to the first by text."""
-    key = lambda size: F.xxhash64("doc_id", "source", size)
-    plan = mix_plan(docs, **how).withColumn("_key", key("size")).groupBy("_key").agg(F.sort_array(F.collect_list("copies"), False).alias("_copies"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    keyed = docs.drop("copy").withColumn("_size", size).withColumn("_key", key("_size"))
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy("text"))
-    taken = keyed.withColumn("_nth", nth).join(plan, "_key").withColumn("_times", F.get("_copies", F.col("_nth") - 1))
+    of a column of that name; other columns are kept whatever their names. A text moves once.
+
+    Rows that share an id, a source and a text get the copies that the plan has for these, the most to the first by a hash of
+    all columns. Such rows, if there are any, are counted where they are before they meet, and dealt out
+    again in pieces, so that one row may be a third of the table. An empty table gives no rows."""
     names = [c for c in docs.columns if c.lower() != "copy"]
-    return taken.filter("_times > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("copy"))
+    docs = docs.select(*names)
+    key, tid, m, at, number = (free_name(docs, n) for n in ("_key", "_tid", "_rows", "_at", "_number"))
+    taken = [free_name(docs, f"_taken{j}") for j in range(1, most + 1)]
+    of_key = lambda t: F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), t)
+    plan = mix_plan(docs, most=most, **how).withColumn(key, of_key(F.col("tid"))).withColumnRenamed("tid", tid)
+    plan = cut(plan.groupBy(key, tid).agg(F.count("*").alias(m), *(F.count_if(F.col("copies") >= j).alias(t) for j, t in enumerate(taken, 1))), "plan")
+    keyed = docs.withColumn(tid, F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).withColumn(key, of_key(F.col(tid)))
+    times = sum((F.col(t) for t in taken[1:]), F.col(taken[0])).cast("int")
+    once = keyed.join(plan.filter(F.col(m) == 1).filter(F.col(taken[0]) > 0), [key, tid])
+    out = once.select(*names, F.explode(F.sequence(F.lit(1), times)).alias("copy"))
+    if (several := plan.filter(F.col(m) > 1)).isEmpty():
+        return out
+    rows = keyed.join(several, [key, tid], "left_semi").groupBy(*names, key, tid).agg(F.count("*").alias(m))
+    before = Window.partitionBy(key, tid).orderBy(F.xxhash64(*names)).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn(at, F.coalesce(F.sum(m).over(before), F.lit(0))).join(several.drop(m), [key, tid])
+    piece = 1024
+    counts = [F.struct(F.lit(j).alias("copy"), F.least(F.col(m), F.greatest(F.lit(0), F.col(t) - F.col(at))).alias("n")) for j, t in enumerate(taken, 1)]
+    pieces = rows.select(*names, F.explode(F.array(*counts)).alias(number)).filter(F.col(f"{number}.n") > 0)
+    pieces = pieces.withColumn(at, F.explode(F.sequence(F.lit(0), F.col(f"{number}.n") - 1, F.lit(piece)))).repartition(F.xxhash64(at, *names))
+    left = F.least(F.lit(piece), F.col(f"{number}.n") - F.col(at)).cast("int")
+    more = pieces.select(*names, F.col(f"{number}.copy").alias("copy"), F.explode(F.sequence(F.lit(1), left)).alias(number)).drop(number)
+    return out.unionByName(more)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

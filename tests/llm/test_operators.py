@@ -344,12 +344,34 @@ def test_mixing_is_systematic(spark):
         got = by.setdefault(r["source"], [r["target"], r["source_size"], 0, []])
         got[2] += r["copies"] * r["size"]
         got[3].append((r["size"], r["doc_id"], r["copies"]))
+    offset = lambda name: int(hashlib.sha256(b"42:\x01" + name.encode()).hexdigest()[:4], 16) / 65536
     for name, (target, total, taken, found) in by.items():
         assert abs(taken - target) < 0.02 * target
-        rate, u = min(3.0, target / total), mixing.offset(name, 42)
+        rate, u = min(3.0, target / total), offset(name)
         assert [c for _, _, c in sorted(found)] == [math.floor((k + 1) * rate + u) - math.floor(k * rate + u) for k in range(len(found))]
 
 
+def test_mixing_of_many_sources_is_the_same_in_tables(spark):
+    many = spark.createDataFrame([(i, "w " * (1 + i % 37), None if i % 41 == 0 else "s%d" % (i % 40)) for i in range(1500)], "doc_id long, text string, source string")
+    want, got = (sorted(map(tuple, mixing.mix_plan(many, at_once=n).collect())) for n in (100, 3))
+    assert got == want
+    sizes = [0, 5, 7, 9, 1, 1000, 1000, 3, 3, 3, 100]
+    per = spark.createDataFrame([("s%02d" % k, n) for k, n in enumerate(sizes)], "source string, n long")
+    assert [r["target"] for r in mixing.goals(per, at_once=2).sort("idx").collect()] == mixing.targets(sizes)
+
+
+def test_mixing_of_repeated_rows(spark):
+    """Rows that are the same, or differ in one other column only, and columns named as helpers are."""
+    some = [(None if k % 3 else 7, "two words", "s", "mine", k % 2) for k in range(3000)] + [(k, "a b c d", "t", "mine", 0) for k in range(3)]
+    df = spark.createDataFrame(some, "doc_id long, text string, source string, _key string, _size int")
+    plan, got = mixing.mix_plan(df).collect(), mixing.mix(df)
+    assert got.columns == [*df.columns, "copy"]
+    rows = got.collect()
+    assert {r["_key"] for r in rows} == {"mine"}
+    for j in (1, 2, 3):
+        assert Counter((r["doc_id"], r["source"]) for r in rows if r["copy"] == j) == Counter((r["doc_id"], r["source"]) for r in plan if r["copies"] >= j)
+
+
 def test_fingerprints(docs, empty):
     got = fingerprints.with_edits(docs, bucket_rows=2).collect()
     order = sorted(rows(), key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
