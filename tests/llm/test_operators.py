@@ -372,31 +372,50 @@ def test_mixing_of_repeated_rows(spark):
         assert Counter((r["doc_id"], r["source"]) for r in rows if r["copy"] == j) == Counter((r["doc_id"], r["source"]) for r in plan if r["copies"] >= j)
 
 
-def test_fingerprints(docs, empty):
-    got = fingerprints.with_edits(docs, bucket_rows=2).collect()
-    order = sorted(rows(), key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
-    want = []
-    for k, (i, t, *_) in enumerate(order):
-        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+def plain_print(text):
+    terms = set(WORD.findall(text.lower()))
+    total = sum(map(len, terms))
+    return sum(1 << k for k in range(64) if 2 * sum(len(w) for w in terms if xxhash.xxh64_intdigest(w.encode(), 42) >> k & 1) > total)
+
+
+def plain_edits(pairs):
+    """Of (doc_id, text), all results by the definition; equal ids go by the signed hash of the text."""
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (h >> 63 << 64)
+    order = sorted(((i, t or "") for i, t in pairs), key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1])))
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
         n = len(t) // 3
-        want.append((str(i), len(t), hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest()))
-    assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in got) == sorted(want)
-    by_text = {}
-    for r in got:
-        assert r["next_fingerprint"] is not None
-        by_text.setdefault(r["doc_id"], set()).add(r["fingerprint"])
-    assert by_text[1] == by_text[3] and by_text[4] == by_text[5] == {0}
-
-    def plain(text):
-        terms = {w for w in WORD.findall(text.lower())}
-        total = sum(map(len, terms))
-        return sum(1 << k for k in range(64) if 2 * sum(len(w) for w in terms if xxhash.xxh64_intdigest(w.encode(), 42) >> k & 1) > total)
-
-    assert {f & (2**64 - 1) for f in by_text[2]} == {plain(rows()[1][1])}
+        edited = t[: len(t) - n] + after[:n]
+        yield str(i), len(t), hashlib.sha256(edited.encode()).hexdigest(), plain_print(t), plain_print(edited), plain_print(after)
+
+
+def test_fingerprints(spark, docs, empty):
+    """All columns against a plain version, over rows that repeat and have no ids, and over ids of all 64 bits."""
+    wide = [(-(2**63) + 5, "a b c d e f"), (2**63 - 2, "first of all"), (0, None), (17, "one, two and three"), (-4, "x " * 50)]
+    some = spark.createDataFrame(wide, "doc_id long, text string")
+    for df, pairs in ((docs, [(r[0], r[1]) for r in rows()]), (some, wide), (spark.createDataFrame(wide[:1], "doc_id long, text string"), wide[:1])):
+        for size in (2, 128):
+            got = fingerprints.with_edits(df, bucket_rows=size).collect()
+            u = lambda x: x & (2**64 - 1)
+            mine = [(str(r["doc_id"]), r["n_chars"], r["edited_sha256"], u(r["fingerprint"]), u(r["edited_fingerprint"]), u(r["next_fingerprint"])) for r in got]
+            assert sorted(mine) == sorted(plain_edits(pairs))
     assert fingerprints.with_edits(empty).count() == 0
     assert fingerprints.fingerprints(docs).count() == len({(r[0], r[1] or "") for r in rows()})
 
 
+def test_op9(spark, sf):
+    """The query's likenesses and counts of near fingerprints against all pairs."""
+    pairs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in fingerprints.op9_fingerprints(spark, sf).collect()}
+    prints = {i: plain_print(t) for i, t in pairs.items()}
+    like = lambda a, b: 1 - (a ^ b).bit_count() / 64
+    for i, n, sha, f, e, after in plain_edits(pairs.items()):
+        r = got[int(i)]
+        near = len({p for p in prints.values() if 0 < (p ^ f).bit_count() <= 3}) if int(i) % 20 == 0 else None
+        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) == (n, sha, f"{f:016x}", f"{e:016x}")
+        assert (r["near_edited"], r["near_next"], r["n_near"]) == (like(f, e), like(f, after), near)
+
+
 def test_block_tables(spark):
     draw = np.random.default_rng(5)
     some = [int(x) for x in draw.integers(-(2**62), 2**62, 40)]
