@@ -500,6 +500,56 @@ def test_pii_clashes_take_another_turn(spark):
     assert len(set(got.values())) == len(many) and not set(got.values()) & set(got)
 
 
+def test_pii_with_a_full_format(spark):
+    """Every address x@y.co there is: the surrogates must be longer."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    all_ = [f"{x}@{y}.co" for x in letters for y in letters]
+    got = {r["entity"]: r["surrogate"] for r in pii.surrogates(spark.createDataFrame([(t,) for t in all_], "entity string")).collect()}
+    assert set(got) == set(all_) and len(set(got.values())) == len(all_) and not set(got.values()) & set(all_)
+    assert all(re.fullmatch(r"[a-z]+@[a-z]\.co", x) for x in got.values())
+
+
+def test_pii_people_stay_apart(spark):
+    """All given names with one family name, and introduced names that no list has."""
+    names = [n for of in pii.GIVEN.values() for n in of]
+    text = " . ".join(f"{n} {'Гарсин' if n[0] > 'z' else 'Garcia'} wrote" for n in names) + " . My name is Zoltan Garcia. Dear Zelda Garcia, Mr. Garcia came"
+    (row,) = pii.replace_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row["kinds"] == ["person"] * (len(names) + 3)
+    out = re.findall(r"(\w+) (\w+) wrote", row["text"])
+    assert len(set(out)) == len(names) and len({f for _, f in out}) == 2
+    for (new, _), old in zip(out, names, strict=True):
+        assert new != old and any(new in of and old in of for of in pii.GIVEN.values())
+    assert "Garcia" not in row["text"] and "Zoltan" not in row["text"] and "Zelda" not in row["text"]
+    family = next(f for g, f in out if g in pii.FEMALE)
+    assert row["text"].endswith(f"Mr. {family} came")
+
+
+def test_pii_against_plain_replacement(spark):
+    """Texts of many kinds in turn, long ones too: what is between entities stays, and replacements keep their format."""
+    key, host = "0123456789abcdef" * 9, ".".join(["sub"] * 20)
+    parts = ["a.b@c.org", f"{'long' * 30}@{host}.example.com", key, key[:140].upper(), "+49 (171) 555-1234", "10.11.12.13", "123-45-6789", "DE44 5001 0517 5407 3249 31", "4111111111111111"]
+    draw = np.random.default_rng(4)
+    texts = {k: " ; ".join(f"plain{x} {parts[x]}" for x in draw.integers(0, len(parts), 12)) for k in range(20)} | {100: "x@y.org " * 20_000, 101: "nothing here"}
+    got = {r["doc_id"]: r for r in pii.replace_pii(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    shape = lambda s: re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "9", s)))
+    new = {}
+    for k, text in texts.items():
+        if k == 101:
+            assert got[k]["text"] == text and got[k]["kinds"] == []
+            continue
+        old, out = text.split(" "), got[k]["text"].split(" ")
+        assert len(old) == len(out)
+        if k == 100:
+            assert len(set(out)) == 2 and "x@y.org" not in out
+            continue
+        for a, b in zip(re.split(" ; plain\\d |^plain\\d ", text)[1:], re.split(" ; plain\\d |^plain\\d ", got[k]["text"])[1:], strict=True):
+            assert a != b and new.setdefault(a, b) == b
+            if a not in (key, key[:140].upper(), "10.11.12.13"):
+                assert shape(a) == shape(b)
+            assert len(a) == len(b) or a == "10.11.12.13"
+    assert len(set(new.values())) == len(new) == len(parts)
+
+
 def test_language(spark, sf, docs, empty):
     all_ = spark.read.parquet(f"{sf}/documents.parquet")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
