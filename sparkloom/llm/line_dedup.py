@@ -27,7 +27,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, keep: tu
     occurrences is one that adaptive execution splits. A document's text moves once.
 
     Null or empty text is one empty line. Rows that share a doc_id are one document: none loses a line to
-    another. Null ids are one document, which comes last. Other columns are ignored.
+    another. Null ids are one document, which comes last; an
+    id of 2**63 - 1 counts as null. An empty table gives no rows. Other columns are ignored.
     """
     base = texts(docs, *keep).select(
         "doc_id",

@@ -153,7 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, **how) -> Ra
 
 def judge(docs: DataFrame, ranking: Ranking) -> DataFrame:
     """doc_id, score, predicted (1 if the score is at least CUT, else 0), one row per row of docs. Null texts are
-    empty, and empty ones are scored like others. Nothing is shuffled."""
+    empty, and empty ones are scored like others. Null ids and repeated rows are scored like others, texts that are the same alike; an
+    empty table gives no rows; other columns are ignored. Nothing is shuffled."""
     held = docs.sparkSession.sparkContext.broadcast(ranking)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -183,7 +183,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     partial sums, and the table of those that occur again is cut, so that the join which marks occurrences
     is one that adaptive execution splits. A text moves once, to meet its spans.
 
-    Null texts are empty. Null ids come last, and are one document. Rows that share id and text count as
+    Null texts are empty. Null ids come last, and are one document; an id of 2**63 - 1 counts as null. Rows that share id and text count as
     one. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession

@@ -564,6 +564,34 @@ def test_language(spark, sf, docs, empty):
     assert language.identify(empty, model).count() == 0
 
 
+def test_language_training_counts_whole_texts(spark, sf):
+    """Weights and predictions against plain counting, in one block of languages and in several."""
+    all_ = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    data = all_.collect()
+
+    def plain(text):
+        codes, out = [ord(c) for c in f" {text.lower()} "], Counter()
+        for i in range(len(codes)):
+            h = 0
+            for n in (1, 2, 3):
+                if i + n <= len(codes):
+                    h = (((h ^ codes[i + n - 1]) * 0x9E3779B1) + n) % 2**32
+                    out[(h ^ (h >> 15)) % language.BUCKETS] += 1
+        return out
+
+    counts, docs_of = {}, Counter(r["lang"] for r in data)
+    for r in data:
+        counts.setdefault(r["lang"], Counter()).update(plain(r["text"]))
+    learned = language.train(all_)
+    model = learned.part(0)
+    assert learned.languages == sorted(counts)
+    for k, lang in enumerate(learned.languages):
+        want = np.log(np.array([counts[lang][b] for b in range(language.BUCKETS)]) + 0.5) - math.log(sum(counts[lang].values()) + 0.5 * language.BUCKETS)
+        assert np.abs(model.weights[:-1, k] - want).max() < 1e-5 and model.prior[k] == pytest.approx(math.log(docs_of[lang] / len(data)))
+    one, many = (sorted((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in language.identify(all_, m).collect()) for m in (learned, language.train(all_, block=1)))
+    assert one == many
+
+
 def test_language_scores_are_naive_bayes():
     model = language.Model(["a", "b"], np.log([0.5, 0.5]), np.vstack([np.log(np.random.default_rng(0).dirichlet(np.ones(language.BUCKETS), 2)).T, np.zeros((1, 2))]).astype(np.float32))
     texts = ["abc de", "x", "q" * 50]
@@ -577,14 +605,20 @@ def test_language_scores_are_naive_bayes():
     assert odds == pytest.approx([1 / np.exp(r - r.max()).sum() for r in total])
 
 
-def test_quality(spark, sf, docs, empty):
+def test_quality(spark, docs, empty):
+    """On labels that were held out."""
+    sf = "/root/testdata/sf0.01"
     all_, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    found = quality.judge(all_, quality.train(all_, labels)).join(labels, "doc_id").collect()
-    assert np.mean([r["predicted"] == r["quality"] for r in found]) >= 0.95
+    found = [r for r in quality.op4_quality(spark, sf).join(labels, "doc_id").collect() if r["held_out"]]
+    assert len(found) > 50 and np.mean([r["predicted"] == r["quality"] for r in found]) >= 0.95
     none = quality.train(docs, labels.limit(0))
     got = quality.judge(docs, none).collect()
     assert len(got) == docs.count() and all(r["score"] == pytest.approx(0.5) and r["predicted"] == 1 for r in got)
     assert quality.judge(empty, none).count() == 0
+    same = spark.createDataFrame([(k, "one text for all") for k in range(40)], "doc_id long, text string")
+    marks = spark.createDataFrame([(k, int(k % 4 > 0)) for k in range(40)], "doc_id long, quality int")
+    tied = quality.judge(same, quality.train(same, marks)).collect()
+    assert len({(r["score"], r["predicted"]) for r in tied}) == 1 and tied[0]["predicted"] == 1
 
 
 def test_quality_cut_is_at_the_share_of_all_labels(spark):
