@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.names import is_callable, valid_tags
 from ..plans.graph import Graph
 from ..plans.schema import BEHAVIORS, SUMMARY
+from ..sources.providers import prompt
 
 Tagger = Callable[[str], list[str]]
 Summarizer = Callable[[str, str, str], str]
@@ -65,13 +66,34 @@ def human_summary(graph: Graph, id_: str, text: str, now: Callable[[], float] =
     return Graph(graph.nodes.withColumn("summary", F.when(F.col("id") == id_, new.cast(SUMMARY)).otherwise(F.col("summary"))), graph.edges)
 
 
-def missing_embeddings(graph: Graph, embeddings: DataFrame, embed: Embedder, batch: int = 64) -> DataFrame:
-    """Rows to upsert for functions that lack a vector: the summary's text (else name and signature) and the code.
+def prompts(graph: Graph) -> DataFrame:
+    """id, prompt: what a provider is asked about each function."""
+
+    @F.pandas_udf("string")
+    def build(names: pd.Series, packages: pd.Series, signatures: pd.Series, docs: pd.Series, codes: pd.Series) -> pd.Series:
+        return pd.Series([prompt(*row) for row in zip(names, packages, signatures.fillna(""), docs.fillna(""), codes.fillna(""), strict=True)])
+
+    return graph.nodes.filter("type = 'function'").select("id", build("name", "package", "signature", "docstring", "code").alias("prompt"))
+
+
+def missing_embeddings(graph: Graph, embeddings: DataFrame, embed: Embedder, summarize: Summarizer | None = None, batch: int = 64) -> DataFrame:
+    """Rows to upsert for functions that lack a vector: the summary's text and the code. Without a summary it is what
+    `summarize` says, if given, else (or if that fails) name and signature.
     A failure on code leaves its vector null; one on a summary leaves the row out."""
     whole = embeddings.filter("summary_embedding IS NOT NULL AND code_embedding IS NOT NULL").select(F.col("node_id").alias("id"))
     todo = graph.nodes.filter("type = 'function'").join(whole, "id", "left_anti")
-    text = F.coalesce(F.nullif(F.col("summary.text"), F.lit("")), F.concat_ws(" ", "name", "signature"))
-    rows = todo.select(F.col("id").alias("node_id"), text.alias("summary_text"), F.coalesce("code", F.lit("")).alias("code_text"))
+    rows = todo.select(
+        F.col("id").alias("node_id"), F.nullif(F.col("summary.text"), F.lit("")).alias("summary_text"), F.coalesce("code", F.lit("")).alias("code_text"),
+        "name", "package", F.concat_ws(" ", "name", "signature").alias("title"),
+    )
+
+    def said(row) -> str:
+        if row.summary_text:
+            return row.summary_text
+        try:
+            return (summarize(row.name_, row.package, row.code_text) if summarize else "") or row.title
+        except Exception:  # noqa: BLE001
+            return row.title
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def vectors(texts: list[str]) -> list:
@@ -83,6 +105,8 @@ def missing_embeddings(graph: Graph, embeddings: DataFrame, embed: Embedder, bat
         for whole_batch in batches:
             for at in range(0, len(whole_batch), batch):
                 part = whole_batch.iloc[at : at + batch].copy()
+                part["summary_text"] = [said(r) for r in part.rename(columns={"name": "name_"}).itertuples()]
+                part = part.drop(columns=["name", "package", "title"])
                 part["summary_embedding"] = pd.Series(vectors(part["summary_text"].tolist()), index=part.index, dtype=object)
                 has = part["code_text"] != ""
                 part["code_embedding"] = pd.Series(vectors(part.loc[has, "code_text"].tolist()), index=part.index[has], dtype=object).reindex(part.index)

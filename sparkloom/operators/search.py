@@ -59,7 +59,11 @@ def behavior_search(graph: Graph, embeddings: DataFrame, tags: list[str], query:
     """Functions and methods with all the tags; ranked by the query if there is one and it can be embedded,
     else by name. Without ranking a limit of 0 or less is no limit."""
     found = graph.with_behaviors(tags)
-    if query and embed:
-        return hydrated(Graph(found, graph.edges), vector_search(embeddings, embed(query), limit, found.select("id")))
+    try:
+        vector = embed(query) if query and embed else None
+    except Exception:  # noqa: BLE001  a provider may fail in any way
+        vector = None
+    if vector is not None:
+        return hydrated(Graph(found, graph.edges), vector_search(embeddings, vector, limit, found.select("id")))
     listed = found.orderBy("name", "id")
     return listed.limit(limit) if limit > 0 else listed

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions.names import is_callable
 from ..operators import analysis, search, traverse
-from ..operators.enrich import human_summary
+from ..operators.enrich import human_summary, missing_embeddings
 from ..sources.store import Store
 from .graph import Graph
 from .index import index_module
+from .lineage import cut
 
 
 def node_entry() -> list:
@@ -37,8 +38,8 @@ def text(value) -> str:
 class Server:
     """All tools over one store. Tools raise LookupError for what isn't there and ValueError for bad arguments."""
 
-    def __init__(self, spark: SparkSession, store: Store, root: str = "", embed: Callable | None = None):
-        self.spark, self.store, self.root, self.embed = spark, store, root, embed
+    def __init__(self, spark: SparkSession, store: Store, root: str = "", embed: Callable | None = None, summarize: Callable | None = None):
+        self.spark, self.store, self.root, self.embed, self.summarize = spark, store, root, embed, summarize
 
     @property
     def graph(self) -> Graph:
@@ -57,11 +58,23 @@ class Server:
             raise traverse.NodeNotFound(id_)
 
     # search
+    def _ensure(self, nodes: DataFrame) -> None:
+        """Vectors for the functions among nodes that have none yet, with summaries where they lack them; what fails is left out."""
+        if self.embed:
+            rows = missing_embeddings(Graph(nodes, self.graph.edges), self.store.load_embeddings(), self.embed, self.summarize)
+            rows = cut(rows, "ensured")
+            if not rows.isEmpty():
+                self.store.upsert_embeddings(rows)
+
     def search_functions(self, query: str, package: str | None = None, limit: float = 10) -> str:
+        if package:
+            self._ensure(self.graph.by(package=package))
         found = search.search_functions(self.graph, self.store.load_embeddings(), query, package, int(limit), self._one())
         return self._list(found)
 
     def search_by_behavior(self, behaviors: list[str], query: str = "", limit: float = 10) -> str:
+        if query:
+            self._ensure(self.graph.with_behaviors(behaviors))
         return self._list(search.behavior_search(self.graph, self.store.load_embeddings(), behaviors, query, int(limit), self._one()))
 
     def get_function_by_name(self, name: str, package: str | None = None, file: str | None = None) -> str:

@@ -87,7 +87,7 @@ def generate_summaries(store: Store, summarize: Summarizer, embed: Embedder | No
     """With an embedding provider, vectors for the stored functions that lack them; without, summaries of all functions."""
     graph = store.load_graph()
     if embed:
-        store.upsert_embeddings(missing_embeddings(graph, store.load_embeddings(), embed))
+        store.upsert_embeddings(missing_embeddings(graph, store.load_embeddings(), embed, summarize))
     else:
         store.save_graph(with_summaries(graph, summarize))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.names import node_id, placeholder
 from ..operators.resolve import implements_edges, resolve_placeholders, type_edges
 from ..plans.graph import Graph, distinct_edges
+from ..plans.lineage import cut
 from ..plans.schema import EDGES, NODES, shaped
 from .gosource import parse
 
@@ -96,9 +97,21 @@ def call_edges(rows: DataFrame) -> DataFrame:
     )
 
 
+def _embedded(links: DataFrame) -> DataFrame:
+    """type_id, part: all types that a type embeds, directly or through others; each round goes one embedding deeper, from
+    what the round before found, until there is nothing new (types may embed pointers to each other)."""
+    found = new = cut(links.distinct(), "embeds")
+    while not new.isEmpty():
+        deeper = links.select(F.col("type_id").alias("part"), F.col("part").alias("deeper")).distinct()
+        new = new.join(deeper, "part").select("type_id", F.col("deeper").alias("part")).distinct()
+        new = cut(new.join(found, ["type_id", "part"], "left_anti"), "embeds")
+        found = found.unionByName(new)
+    return found
+
+
 def type_relations(rows: DataFrame) -> DataFrame:
     """implements, accepts and returns edges among the types that were read. Methods of embedded types count
-    as the type's own, three levels deep."""
+    as the type's own, at any depth."""
     f = rows.select("file", "package", F.explode("functions").alias("f")).select("file", "package", "f.*")
     t = rows.select("package", F.explode("types").alias("t")).select("package", "t.*")
     t = t.withColumn("type_id", F.concat(F.lit("type_"), F.col("package"), F.lit("_"), F.col("name")))
@@ -106,10 +119,9 @@ def type_relations(rows: DataFrame) -> DataFrame:
     own = f.filter("receiver IS NOT NULL").select(key.alias("type_id"), "name", F.col("shape").alias("signature"), F.col("receiver").startswith("*").alias("pointer"))
     required = t.filter("kind = 'interface'").select("type_id", F.explode("methods").alias("m")).select("type_id", "m.name", F.col("m.shape").alias("signature"))
     links = t.select("type_id", F.explode("embeds").alias("e")).select("type_id", F.concat(F.lit("type_"), F.regexp_replace("e", r"\.([^.]*)$", "_$1")).alias("part"))
-    for _ in range(3):
-        up = links.withColumnRenamed("type_id", "owner")
-        own = own.unionByName(own.join(up, F.col("type_id") == F.col("part")).select(F.col("owner").alias("type_id"), "name", "signature", "pointer")).distinct()
-        required = required.unionByName(required.join(up, F.col("type_id") == F.col("part")).select(F.col("owner").alias("type_id"), "name", "signature")).distinct()
+    up = _embedded(links).withColumnRenamed("type_id", "owner")
+    own = own.unionByName(own.join(up, F.col("type_id") == F.col("part")).select(F.col("owner").alias("type_id"), "name", "signature", "pointer")).distinct()
+    required = required.unionByName(required.join(up, F.col("type_id") == F.col("part")).select(F.col("owner").alias("type_id"), "name", "signature")).distinct()
     concrete = t.filter("kind <> 'interface'").select("type_id").distinct()
     sets = concrete.join(own, "type_id", "left")
     wanted = t.filter("kind = 'interface'").select("type_id").distinct().join(required, "type_id", "left")
