@@ -65,33 +65,45 @@ def receiver_interfaces(graph: Graph, id_: str) -> DataFrame:
     return graph.nodes.join(found.select(F.col("to_id").alias("id")), "id", "left_semi")
 
 
-def contract(graph: Graph, id_: str) -> DataFrame:
-    """One row: what is known of a function to those who use it. Raises NodeNotFound."""
+def _around(graph: Graph, id_: str) -> DataFrame:
+    """The edges that touch a node, and the nodes at their other ends (null where there is none): out (whether the
+    edge leaves it), edge, and the node. Two filtered reads and one join."""
+    out = graph.edges_from(id_).select(F.lit(True).alias("out"), F.col("type").alias("edge"), F.col("to_id").alias("end"))
+    in_ = graph.into.filter((F.col("to_id") == id_) & (F.col("type") == "calls")).select(F.lit(False), "type", "from_id")
+    return out.union(in_).join(graph.nodes, F.col("end") == F.col("id"), "left")
+
+
+def _contract(graph: Graph, id_: str, *more) -> DataFrame:
     node = graph.node(id_)
     if node.isEmpty():
         raise NodeNotFound(id_)
-    names = lambda df: df.agg(F.sort_array(F.collect_list("name")).alias("n"))
-    count = graph.calls().agg(
-        F.count(F.when(F.col("to_id") == id_, 1)).alias("caller_count"), F.count(F.when(F.col("from_id") == id_, 1)).alias("callee_count")
-    )
-    out = node.select("id", "name", "package", "signature", bare_receiver(F.col("receiver")).alias("receiver_type")).crossJoin(count)
-    parts = {
-        "type_interfaces": receiver_interfaces(graph, id_),
-        "accepts": graph.neighbors(id_, "accepts"),
-        "returns": graph.neighbors(id_, "returns"),
-        "tests": find_tests(graph, id_),
-    }
-    for name, found in parts.items():
-        out = out.crossJoin(names(found).withColumnRenamed("n", name))
-    return out
+    calls_, there = F.col("edge") == "calls", F.col("id").isNotNull()
+    listed = lambda of, name: F.sort_array(F.collect_list(F.when(F.col("out") & (F.col("edge") == of) & there, F.col("name")))).alias(name)
+    sums = _around(graph, id_).agg(
+        F.count_if(~F.col("out") & calls_).alias("caller_count"), F.count_if(F.col("out") & calls_).alias("callee_count"),
+        listed("accepts", "accepts"), listed("returns", "returns"), *more,
+    )
+    names = lambda df, name: df.agg(F.sort_array(F.collect_list("name")).alias(name))
+    out = node.select("id", "name", "package", "signature", bare_receiver(F.col("receiver")).alias("receiver_type")).crossJoin(sums)
+    return out.crossJoin(names(receiver_interfaces(graph, id_), "type_interfaces")).crossJoin(names(find_tests(graph, id_), "tests"))
+
+
+_CONTRACT = ("id", "name", "package", "signature", "receiver_type", "caller_count", "callee_count", "type_interfaces", "accepts", "returns", "tests")
+
+
+def contract(graph: Graph, id_: str) -> DataFrame:
+    """One row: what is known of a function to those who use it. Raises NodeNotFound."""
+    return _contract(graph, id_).select(*_CONTRACT)
 
 
 def function_context(graph: Graph, id_: str) -> DataFrame:
     """One row: the contract, the code, and callers and callees as compact entries."""
     entry = F.struct(*compact(), F.col("summary.text").alias("summary"))
-    entries = lambda df, name: df.agg(F.sort_array(F.collect_list(entry)).alias(name))
-    out = contract(graph, id_).join(graph.node(id_).select("id", "code", "docstring", "file", "line"), "id")
-    return out.crossJoin(entries(graph.callers(id_), "callers")).crossJoin(entries(graph.callees(id_), "callees"))
+    calls_ = (F.col("edge") == "calls") & F.col("id").isNotNull()
+    callers = F.sort_array(F.collect_set(F.when(~F.col("out") & calls_, entry))).alias("callers")
+    callees = F.sort_array(F.collect_set(F.when(F.col("out") & calls_, entry))).alias("callees")
+    more = graph.node(id_).select("id", "code", "docstring", "file", "line")
+    return _contract(graph, id_, callers, callees).join(more, "id").select(*_CONTRACT, "code", "docstring", "file", "line", "callers", "callees")
 
 
 def patterns(graph: Graph, package: str, pattern: str) -> DataFrame:

@@ -17,16 +17,34 @@ class NoPath(LookupError):
     pass
 
 
-def reach(edges: DataFrame, start: list[str], max_depth: int | None = None) -> DataFrame:
+#: A frontier of so many ids is held by the driver, and looked for in the stored edges by a filter (FEW) or a small join.
+HELD, FEW = 10_000, 200
+
+
+def reach(edges: DataFrame, start: list[str], max_depth: int | None = None, held: int = HELD) -> DataFrame:
     """id, depth: what start leads to along edges (src, dst), with the least number of hops; start at 0.
 
-    Each hop joins the last frontier only, drops what has been seen, and is cut, so that plans stay short and
-    cycles end. The edges are read once a hop, and stay where they are while the frontier is small enough to
-    be broadcast, which is the optimizer's choice by its size; so give edges of a stored graph."""
+    Each hop joins the last frontier only and drops what has been seen, so cycles end. While a hop finds at most `held` ids
+    the driver holds them, and a hop is one job, whose filter reaches the stored edges (give edges sorted by src). A
+    larger frontier, and all that comes after it, is a table, cut so that plans stay short."""
     spark = edges.sparkSession
     steps = edges.select("src", "dst")
-    frontier = spark.createDataFrame([(s, 0) for s in sorted(set(start))], "id string, depth int")
-    seen, depth = frontier, 0
+    known = dict.fromkeys(sorted(set(start)), 0)
+    frontier, depth = list(known), 0
+    table = lambda ids, d: spark.createDataFrame([(i, d) for i in ids], "id string, depth int")
+    while frontier and (max_depth is None or depth < max_depth):
+        depth += 1
+        hit = steps.filter(F.col("src").isin(frontier)) if len(frontier) <= FEW else steps.join(F.broadcast(table(frontier, 0)), F.col("id") == F.col("src"))
+        found = hit.select("dst").distinct().limit(held + 1).collect()
+        if len(found) > held or len(known) > 10 * held:
+            depth -= 1
+            break
+        frontier = sorted({r["dst"] for r in found} - known.keys() - {None})
+        known |= dict.fromkeys(frontier, depth)
+    else:
+        return spark.createDataFrame(list(known.items()), "id string, depth int")
+    seen = spark.createDataFrame(list(known.items()), "id string, depth int")
+    frontier = table(frontier, depth)
     while max_depth is None or depth < max_depth:
         depth += 1
         found = frontier.join(steps, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
@@ -39,7 +57,8 @@ def reach(edges: DataFrame, start: list[str], max_depth: int | None = None) -> D
 
 def calls(graph: Graph, backward: bool = False) -> DataFrame:
     src, dst = ("to_id", "from_id") if backward else ("from_id", "to_id")
-    return graph.calls().select(F.col(src).alias("src"), F.col(dst).alias("dst"))
+    edges = graph.into if backward else graph.edges
+    return edges.filter("type = 'calls'").select(F.col(src).alias("src"), F.col(dst).alias("dst"))
 
 
 def shortest_path(graph: Graph, source: str, target: str, max_depth: int | None = 10) -> list[str]:
@@ -81,11 +100,10 @@ def neighborhood(graph: Graph, id_: str, depth: int = 2) -> Graph:
     """Nodes within depth edges of any type, in either direction, and all edges that touch an id so reached;
     their other ends may lie outside, and ids without a node are passed through."""
     forth = graph.edges.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
-    both = forth.union(graph.edges.select(F.col("to_id").alias("src"), F.col("from_id").alias("dst")))
+    both = forth.union(graph.into.select(F.col("to_id").alias("src"), F.col("from_id").alias("dst")))
     ball = reach(both, [id_], depth).select("id")
     nodes = graph.nodes.join(ball, "id", "left_semi")
-    inside = F.col("_f").isNotNull() | F.col("_t").isNotNull()
-    edges = graph.edges.join(ball.select(F.col("id").alias("from_id"), F.lit(1).alias("_f")), "from_id", "left").join(
-        ball.select(F.col("id").alias("to_id"), F.lit(1).alias("_t")), "to_id", "left"
-    )
-    return Graph(nodes, edges.filter(inside).select(*graph.edges.columns))
+    ends = [ball.select(F.col("id").alias(end)) for end in ("from_id", "to_id")]
+    out = graph.edges.join(ends[0], "from_id", "left_semi").select(*graph.edges.columns)
+    in_ = graph.into.join(ends[1], "to_id", "left_semi").join(ends[0], "from_id", "left_anti").select(*graph.edges.columns)
+    return Graph(nodes, out.unionByName(in_))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,12 @@ def latest(rows: DataFrame, key: str, order: Column) -> DataFrame:
 class Graph:
     nodes: DataFrame
     edges: DataFrame
+    incoming: DataFrame | None = None  # the same edges, stored by to_id where the others are by from_id
+
+    @property
+    def into(self) -> DataFrame:
+        """The edges, for filters and joins on to_id."""
+        return self.edges if self.incoming is None else self.incoming
 
     # lookups
     def node(self, id_: str) -> DataFrame:
@@ -76,7 +83,7 @@ class Graph:
         return self.edges.filter("type = 'calls'")
 
     def callers(self, id_: str) -> DataFrame:
-        return self._other_end(self.calls().filter(F.col("to_id") == id_), "from_id")
+        return self._other_end(self.into.filter((F.col("type") == "calls") & (F.col("to_id") == id_)), "from_id")
 
     def callees(self, id_: str) -> DataFrame:
         return self.neighbors(id_, "calls")
@@ -85,7 +92,7 @@ class Graph:
         return self._other_end(self.edges_from(id_).filter(F.col("type") == type_), "to_id")
 
     def implementors(self, interface_id: str) -> DataFrame:
-        found = self.edges.filter((F.col("type") == "implements") & (F.col("to_id") == interface_id))
+        found = self.into.filter((F.col("type") == "implements") & (F.col("to_id") == interface_id))
         return self._other_end(found, "from_id")
 
     def interfaces(self, type_id: str) -> DataFrame:
@@ -93,6 +100,13 @@ class Graph:
         found = self.edges_from(type_id).filter("type = 'implements'").select("to_id", "pointer_receiver")
         return self.nodes.join(found, F.col("id") == F.col("to_id")).drop("to_id")
 
+    def stored(self, write: Callable[[DataFrame, str], DataFrame]) -> Graph:
+        """The graph as written by `write` (of a table and a name): nodes in the order of ids, edges in that of from_id, and again
+        in that of to_id, so that lookups and small joins on ids read the files and pages that have them only."""
+        by = lambda df, *c: df.repartitionByRange(*c).sortWithinPartitions(*c)
+        nodes, edges = write(by(self.nodes, "id"), "nodes"), write(by(self.edges, "from_id", "to_id"), "edges")
+        return Graph(nodes, edges, write(by(edges, "to_id", "from_id"), "incoming"))
+
     def _other_end(self, edges: DataFrame, end: str) -> DataFrame:
         return self.nodes.join(edges.select(F.col(end).alias("id")).distinct(), "id", "left_semi")
 

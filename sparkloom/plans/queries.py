@@ -110,7 +110,6 @@ query(
     "+ c AS (SELECT 'func_' || package || '_' || name AS ph, arg_max(id, file || lpad(line::VARCHAR, 9, '0')) AS id FROM nodes WHERE type IN ('function', 'method') GROUP BY 1), u AS (SELECT from_id, CASE WHEN to_id LIKE 'region%' THEN 'func_region_' || (SELECT r_name FROM region WHERE 'region_' || r_regionkey = to_id) ELSE to_id END AS to_id FROM edges WHERE from_id LIKE 'nation%') SELECT u.from_id, coalesce(c.id, u.to_id) AS to_id FROM u LEFT JOIN c ON c.ph = u.to_id",
 )(lambda g: _resolved(g))
 _RECEIVER = "SELECT i.id, i.name FROM nodes m JOIN nodes t ON t.name = ltrim(m.receiver, '*') AND t.package = m.package AND t.type IN ('type', 'interface') JOIN edges e ON e.from_id = t.id AND e.type = 'implements' JOIN nodes i ON i.id = e.to_id WHERE m.id = 'supplier_9'"
-query("J8_hydrate", None)(lambda g: node_columns(g.node("nation_3")))
 query("J10_endpoint_semi_join", "SELECT from_id, to_id, type FROM edges WHERE from_id IN (SELECT id FROM nodes WHERE package IN ('orders', 'customer')) AND to_id IN (SELECT id FROM nodes WHERE package IN ('orders', 'customer'))")(
     lambda g: g.edges_within(g.nodes.filter(F.col("package").isin("orders", "customer"))).select("from_id", "to_id", "type")
 )
@@ -269,13 +268,27 @@ query("V13_behavior_search", _HYDRATED.format(where="WHERE node_id IN (SELECT id
 QUERIES["V13_behavior_search"] = lambda spark, sf: _found(
     search.behavior_search(fk_graph(spark, sf), table_embeddings(spark, sf), ["click"], "any", embed=lambda _: _query_vector(spark, sf))
 )
-QUERIES["J8_hydrate"], ORACLE_SQL["J8_hydrate"] = QUERIES["V10_semantic_search"], ORACLE_SQL["V10_semantic_search"]
-QUERIES["J9_candidates"], ORACLE_SQL["J9_candidates"] = QUERIES["V7_score_nodes"], ORACLE_SQL["V7_score_nodes"]
+# Results of which some have no node: those are dropped after the limit.
+_GHOSTS = "+ top AS (SELECT 'customer_' || c_custkey * 3 AS node_id, c_acctbal AS score FROM customer ORDER BY c_acctbal DESC, node_id LIMIT 40) SELECT n.id, n.name, round(score, 6) AS score FROM top JOIN nodes n ON n.id = node_id"
+query("J8_hydrate", _GHOSTS)(lambda g: None)
+QUERIES["J8_hydrate"] = lambda spark, sf: _found(
+    search.hydrated(
+        fk_graph(spark, sf),
+        vectors.top_k(load(spark, sf, "customer").select(F.concat(F.lit("customer_"), (F.col("c_custkey") * 3).cast("string")).alias("node_id"), F.lit("").alias("text"), F.col("c_acctbal").alias("score")), 40),
+    )
+)
+query("J9_candidates", _VECTORS + f"SELECT node_id, round({_SCORE}, 6) AS score FROM f WHERE node_id IN (SELECT 'customer_' || user_id FROM events WHERE event_type = 'purchase')", graph=False)(
+    lambda spark, sf: table_embeddings(spark, sf)
+    .join(load(spark, sf, "events").filter("event_type = 'purchase'").select(F.concat(F.lit("customer_"), F.col("user_id").cast("string")).alias("node_id")), "node_id", "left_semi")
+    .select("node_id", F.round(vectors.weighted_score(_query_vector(spark, sf)), 6).alias("score"))
+)
 
 query("V5_top_k", _VECTORS + "SELECT node_id, round(sqrt(list_dot_product(s, s)), 6) AS score FROM f ORDER BY sqrt(list_dot_product(s, s)) DESC, node_id LIMIT 7", graph=False)(
     lambda spark, sf: vectors.top_k(table_embeddings(spark, sf).select("node_id", F.col("summary_norm").alias("score")), 7).select("node_id", F.round("score", 6).alias("score"))
 )
-QUERIES["O6_heap_top_k"], ORACLE_SQL["O6_heap_top_k"] = QUERIES["V5_top_k"], ORACLE_SQL["V5_top_k"]
+query("O6_heap_top_k", "SELECT 'lineitem_' || l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey AS node_id, l_extendedprice AS score FROM lineitem ORDER BY score DESC, node_id LIMIT 100", graph=False)(
+    lambda spark, sf: vectors.top_k(load(spark, sf, "lineitem").select(F.concat_ws("_", F.lit("lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("node_id"), F.col("l_extendedprice").alias("score")), 100)
+)
 query("V12_search_functions", _where("type = 'function' AND (contains(lower(name), 'neworder2') OR contains(lower(package), 'neworder2'))") + " ORDER BY name, id LIMIT 10")(
     lambda g: node_columns(search.search_functions(g, None, "NewOrder2"))
 )

@@ -180,12 +180,12 @@ def _chat_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     "E4_human_summaries_stay",
-    "SELECT name, CASE WHEN name = 'Use7' THEN 'by hand' ELSE 'Function ' || name || ' in package ' || package END AS summary, CASE WHEN name = 'Use7' THEN 'human' ELSE 'llm' END AS by FROM gnodes WHERE type = 'function'",
+    "SELECT name, CASE WHEN name = 'Use7' THEN 'by hand' ELSE 'Function ' || name || ' in package ' || package END AS summary, CASE WHEN name = 'Use7' THEN 'human' ELSE 'llm' END AS written_by FROM gnodes WHERE type = 'function'",
 )
 def _stay(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _graph(spark, sf_dir)
     g = enrich.human_summary(g, g.by(name="Use7").first()["id"], "by hand", lambda: 0)
-    return enrich.with_summaries(g, providers.mock_summary, now=lambda: 0).nodes.filter("type = 'function'").select("name", F.col("summary.text").alias("summary"), F.col("summary.generated_by").alias("by"))
+    return enrich.with_summaries(g, providers.mock_summary, now=lambda: 0).nodes.filter("type = 'function'").select("name", F.col("summary.text").alias("summary"), F.col("summary.generated_by").alias("written_by"))
 
 
 @_query("E6_generate", "SELECT count(*) AS embedded, 0::BIGINT AS summaries_before, count(*) AS summaries_after FROM gnodes WHERE type = 'function'")

@@ -45,12 +45,11 @@ _built: dict[tuple[str, str], Graph] = {}
 
 
 def fk_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The tables' graph as a stored one: built and written once a session, as an index is, and then read. Its
-    files hold a package after another, so that filters on packages skip row groups."""
+    """The tables' graph as a stored one (see Graph.stored): built and written once a session, as an index is, and
+    then read. Ids start with their table's name, so filters on packages skip files as well."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
-        graph = derived_graph(spark, sf_dir)
-        _built[key] = Graph(cut(graph.nodes, "nodes"), cut(graph.edges, "edges"))
+        _built[key] = derived_graph(spark, sf_dir).stored(cut)
     return _built[key]
 
 

@@ -12,7 +12,7 @@ from ..functions.vectors import with_norms
 from ..plans.graph import Graph, distinct_edges
 from ..plans.schema import EDGES, EMBEDDINGS, NODES, shaped
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -58,8 +58,12 @@ class Store:
     def save_graph(self, graph: Graph) -> None:
         """Replaces the stored graph; edges are distinct by (from, to, type)."""
         version = uuid.uuid4().hex
-        shaped(graph.nodes, NODES).write.parquet(f"{self.path}/graph-{version}/nodes")
-        distinct_edges(shaped(graph.edges, EDGES)).write.parquet(f"{self.path}/graph-{version}/edges")
+
+        def write(df: DataFrame, name: str) -> DataFrame:
+            df.write.parquet(f"{self.path}/graph-{version}/{name}")
+            return self.spark.read.schema(df.schema).parquet(f"{self.path}/graph-{version}/{name}")
+
+        Graph(shaped(graph.nodes, NODES), distinct_edges(shaped(graph.edges, EDGES))).stored(write)
         self._point("graph", version)
 
     def load_graph(self) -> Graph:
@@ -68,7 +72,7 @@ class Store:
         if version is None:
             return Graph(self.spark.createDataFrame([], NODES), self.spark.createDataFrame([], EDGES))
         read = lambda name, schema: self.spark.read.schema(schema).parquet(f"{self.path}/graph-{version}/{name}")
-        return Graph(read("nodes", NODES), read("edges", EDGES))
+        return Graph(read("nodes", NODES), read("edges", EDGES), read("incoming", EDGES))
 
     def load_embeddings(self) -> DataFrame:
         version = self._current("embeddings")

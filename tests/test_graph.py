@@ -71,6 +71,10 @@ def test_random_graphs_with_cycles(make):
             depth |= {b: max(depth.values()) + 1 for b in frontier}
         got = {r["id"]: r["depth"] for r in traverse.reach(traverse.calls(g), ["n0"]).collect()}
         assert got == depth
+        assert {r["id"]: r["depth"] for r in traverse.reach(traverse.calls(g), ["n0"], held=1).collect()} == depth
+        one = traverse.neighborhood(g, "n0", 1)
+        ball = {"n0"} | {b for a, b in edges if a == "n0"} | {a for a, b in edges if b == "n0"}
+        assert set(ids(one.nodes)) == ball and sorted((r["from_id"], r["to_id"]) for r in one.edges.collect()) == [e for e in edges if ball & set(e)]
         far = max(depth, key=lambda x: (depth[x], x))
         assert len(traverse.shortest_path(g, "n0", far, None)) == depth[far] + 1
 
@@ -191,6 +195,7 @@ def test_queries_match_their_sql(spark):
 
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
+    con.sql("SET threads = 4")
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, sql in ORACLE_SQL.items():
