@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.names import is_callable, placeholder
 from ..operators.enrich import Embedder, Summarizer, Tagger, missing_embeddings, with_summaries, with_tags
 from ..operators.resolve import resolve_placeholders
-from ..sources.files import call_edges, go_files, graph_of, module_path, nodes_of, parsed, plain, scan, type_relations
+from ..sources.files import call_edges, files_at, go_files, graph_of, module_path, nodes_of, parsed, plain, scan, type_relations
 from ..sources.store import Store
 from .graph import Graph, distinct_edges
 from .lineage import cut
@@ -37,13 +37,13 @@ def index_module(spark: SparkSession, root: str, store: Store, tagger: Tagger |
         raise ValueError(f"no readable source below {root}")
     graph = graph_of(rows)
     graph = with_tags(graph, tagger) if tagger else graph
-    _save(store, Graph(keep_human_summaries(store.load_graph().nodes, graph.nodes), graph.edges), embed)
+    _save(store, Graph(keep_human_summaries(store.load_graph().nodes, graph.nodes), graph.edges), embed, rows)
     saved = store.load_graph()
     return saved.nodes.count(), saved.edges.count()
 
 
-def _save(store: Store, graph: Graph, embed: Embedder | None) -> None:
-    store.save_graph(graph)
+def _save(store: Store, graph: Graph, embed: Embedder | None, files: DataFrame | None = None) -> None:
+    store.save_graph(graph, files)
     saved = store.load_graph()
     stale = store.load_embeddings().join(saved.nodes.select(F.col("id").alias("node_id")), "node_id", "left_anti")
     if not stale.isEmpty():
@@ -53,14 +53,17 @@ def _save(store: Store, graph: Graph, embed: Embedder | None) -> None:
 
 
 def reindex_files(spark: SparkSession, root: str, store: Store, changed: list[str], deleted: list[str], tagger: Tagger | None = None, embed: Embedder | None = None) -> None:
-    """The stored graph with changed files read again and deleted ones gone. A file that can't be read keeps what
+    """The stored graph with changed files read again and deleted ones gone. Only changed files are parsed: what others hold
+    is stored with the graph (if it isn't, the tree is parsed once). A file that can't be read keeps what
     it had. Edges from other files into a changed one are resolved anew, by name, and type relations are
-    those of the whole tree as it is now."""
+    those of all files as they are now."""
     module = module_path(spark, root)
-    old = store.load_graph()
-    now = cut(parsed(go_files(spark, root), module, root), "parsed")
-    fresh = now.filter(F.col("file").isin(changed) & F.col("error").isNull())
+    old, before = store.load_graph(), store.load_files()
+    if before is None:
+        before = parsed(go_files(spark, root), module, root)
+    fresh = cut(parsed(files_at(spark, root, changed), module, root).filter("error IS NULL"), "fresh")
     gone = fresh.select("file").union(spark.createDataFrame([(p,) for p in deleted], "file string")).distinct()
+    now = cut(before.join(gone, "file", "left_anti").select(*before.columns).unionByName(fresh), "parsed")
     nodes = old.nodes.join(gone, "file", "left_anti").select(*old.nodes.columns)
     new = nodes_of(fresh)
     new = with_tags(Graph(new, old.edges), tagger).nodes if tagger else new
@@ -71,7 +74,7 @@ def reindex_files(spark: SparkSession, root: str, store: Store, changed: list[st
     kept = kept.join(lost, "to_id", "left").withColumn("to_id", F.coalesce("_p", "to_id")).select(*EDGES.names)
     calls = kept.join(new.select(F.col("id").alias("from_id")), "from_id", "left_anti").select(*EDGES.names).unionByName(shaped(call_edges(fresh), EDGES))
     calls = distinct_edges(resolve_placeholders(nodes, calls))
-    _save(store, Graph(nodes, shaped(calls, EDGES).unionByName(type_relations(now.filter("error IS NULL")))), embed)
+    _save(store, Graph(nodes, shaped(calls, EDGES).unionByName(type_relations(now.filter("error IS NULL")))), embed, now)
 
 
 def index_package(spark: SparkSession, root: str, folder: str, store: Store) -> None:

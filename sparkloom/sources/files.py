@@ -38,6 +38,19 @@ def go_files(spark: SparkSession, root: str) -> DataFrame:
     return rows.filter(~below.rlike(r"/(\.[^/]*|vendor)/")).select(path.alias("path"), F.decode("content", "UTF-8").alias("content"))
 
 
+def files_at(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """path, content of these files below root, those of them that are there; no other file is read."""
+    found = []
+    for path in paths:  # plain paths of the local file system, if the root was one, and whole ones of others
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{path}" if root.startswith("file:") and path.startswith("/") else path)
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            found.append(at.toString())
+    if not found:
+        return spark.createDataFrame([], "path string, content string")
+    rows = spark.read.format("binaryFile").load(found)
+    return rows.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.decode("content", "UTF-8").alias("content"))
+
+
 def module_path(spark: SparkSession, root: str) -> str | None:
     """The path in the first module line of go.mod, or None."""
     try:

@@ -41,30 +41,40 @@ class Store:
         self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _current(self, kind: str) -> str | None:
+    def _current(self, kind: str, what: str = "version") -> str | None:
         at = self._path(f"{self.path}/current-{kind}.json")
         if not self._fs.exists(at):
             return None
         row = self.spark.read.text(f"{self.path}/current-{kind}.json").first()
         said = json.loads(row["value"]) if row else {}
-        return said.get("version") if said.get("schema") == SCHEMA_VERSION else None  # an older schema is rebuilt
+        return said.get(what) if said.get("schema") == SCHEMA_VERSION else None  # an older schema is rebuilt
 
-    def _point(self, kind: str, version: str) -> None:
-        write_text(self.spark, f"{self.path}/current-{kind}.json", json.dumps({"schema": SCHEMA_VERSION, "version": version}))
+    def _point(self, kind: str, version: str, **more: str | None) -> None:
+        write_text(self.spark, f"{self.path}/current-{kind}.json", json.dumps({"schema": SCHEMA_VERSION, "version": version, **more}))
 
     def ready(self) -> bool:
         return self._current("graph") is not None
 
-    def save_graph(self, graph: Graph) -> None:
-        """Replaces the stored graph; edges are distinct by (from, to, type)."""
+    def save_graph(self, graph: Graph, files: DataFrame | None = None) -> None:
+        """Replaces the stored graph; edges are distinct by (from, to, type). files are the parsed files it was made from; if
+        they are not given, those stored before stay."""
         version = uuid.uuid4().hex
+        parsed = self._current("graph", "files")
+        if files is not None:
+            parsed = f"files-{version}"
+            files.write.parquet(f"{self.path}/{parsed}")
 
         def write(df: DataFrame, name: str) -> DataFrame:
             df.write.parquet(f"{self.path}/graph-{version}/{name}")
             return self.spark.read.schema(df.schema).parquet(f"{self.path}/graph-{version}/{name}")
 
         Graph(shaped(graph.nodes, NODES), distinct_edges(shaped(graph.edges, EDGES))).stored(write)
-        self._point("graph", version)
+        self._point("graph", version, files=parsed)
+
+    def load_files(self) -> DataFrame | None:
+        """The parsed files that the stored graph was made from, or None if they are not stored."""
+        files = self._current("graph", "files")
+        return self.spark.read.parquet(f"{self.path}/{files}") if files else None
 
     def load_graph(self) -> Graph:
         """The stored graph; an empty one if there is none."""
