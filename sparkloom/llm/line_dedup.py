@@ -43,6 +43,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, keep: tu
         .filter(F.length("key") >= min_chars)
         .select("did", "tid", "pos", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit("second"), "key").alias("k2"))
     )
+    keys = cut(keys, "keys")  # else lines are exploded and hashed once for the counts and again for the join
     several = F.min("did") < F.max("did") if min_docs == 2 else F.countDistinct("did") >= min_docs
     repeated = keys.groupBy("k1", "k2").agg(F.min("did").alias("first"), several.alias("several")).filter("several")
     repeated = cut(repeated.drop("several"), "repeated")  # else the join takes up the sums' partitioning, which can't be split
