@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ._shared import cut, small, table, texts
 
-MIN_WORDS = 8
+MIN_WORDS = 25  # of lines and sentences: shorter ones recur by nature, and are line dedup's to judge
 WINDOW, GRAM = 50, 25  # words of a window, and of the runs in it one of which is its anchor
 MAP_BITS, BLOCK_BITS = 27, 16  # anchors' bitmap, and its blocks
 _BASE = 0x9E3779B97F4A7C15

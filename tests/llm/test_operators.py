@@ -428,7 +428,7 @@ def test_block_tables(spark):
 
 def test_substring_dedup(docs, empty, spark):
     got = {}
-    for r in substring_dedup.substring_dedup(docs).collect():
+    for r in substring_dedup.substring_dedup(docs, min_words=8).collect():
         got.setdefault(r["doc_id"], []).append((r["text"], [(s["start"], s["end"]) for s in r["removed"]]))
     assert got[1][0][0] == rows()[0][1] and "quick" not in got[3][0][0] and "quick" not in got[2][0][0]
     for i, t, *_ in rows():
@@ -440,6 +440,8 @@ def test_substring_dedup(docs, empty, spark):
     passage = " ".join(f"w{k}" for k in range(60)) + "."
     two = spark.createDataFrame([(1, f"A start here. {passage} The end."), (2, f"Quite another. {passage} Something.\nmore")], "doc_id long, text string")
     out = {r["doc_id"]: r["text"] for r in substring_dedup.substring_dedup(two).collect()}
+    short = spark.createDataFrame([(k, f"A line of ten words that many documents have here.\n{'x' * k}") for k in range(1, 5)], "doc_id long, text string")
+    assert all(r["removed"] == [] for r in substring_dedup.substring_dedup(short).collect())
     assert passage in out[1] and "w30" not in out[2] and "Quite another." in out[2] and out[2].endswith("more")
 
 
