@@ -200,7 +200,9 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = F.col("fingerprint")
     asked = F.col("doc_id") % 20 == 0
     near_ = near_counts(rows.select("fingerprint"), rows.filter(asked).select("fingerprint"))
-    return rows.join(near_, asked & (f == F.col("query")), "left").select(
+    some = rows.filter(asked).join(near_, f == F.col("query")).drop("query")
+    rest = rows.filter(~F.coalesce(asked, F.lit(False))).withColumn("n_near", F.lit(None).cast("long"))
+    return some.unionByName(rest).select(
         "doc_id",
         "n_chars",
         "edited_sha256",
@@ -208,5 +210,5 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         as_hex(F.col("edited_fingerprint")).alias("edited_fingerprint"),
         likeness(f, F.col("edited_fingerprint")).alias("near_edited"),
         likeness(f, F.col("next_fingerprint")).alias("near_next"),
-        F.when(asked, F.col("n_near")).alias("n_near"),
+        "n_near",
     )
