@@ -36,7 +36,7 @@ START, END = 0, 1  # hashes of what comes before a text's first word, and after
 HOT_SHARE = 300  # a context of more than a 300th of all tokens is dealt to all buckets: there are at most 300
 DISCOUNT, STRENGTH = 0.85, 1.0  # of contexts' restaurants
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 1.0  # of the parent, whose base is uniform over words seen and one unseen
-SAMPLES, BURN_IN, SETTLE = 2, 3, 30  # sweeps that count; sweeps before them; steps to a first value of v
+SAMPLES, BURN_IN, SETTLE = 2, 2, 30  # sweeps that count; sweeps before them; steps to a first value of v
 EXACT, NODES, POINTS = 1024, 97, 17  # exact weights of up to so many customers; points of an integral; of a curve
 
 
@@ -291,8 +291,9 @@ def settled(v: np.ndarray, dishes: Dishes, context: np.ndarray, base: np.ndarray
 
 _SCHEMA = "kind int, to long, frm long, data binary, a double, b double, c double"
 #: What rows hold: pairs sent to a bucket; a bucket's restaurants; where a chunk's pairs are in them; tables ordered from
-#: the parent; the parent's probabilities; its words' counts, and its own seating; words a chunk asks for; sums; answers.
-_PAIRS, _STATE, _PLACES, _ORDER, _BASE, _COUNTS, _SEATED, _ASK, _TOTAL, _REPLY, _WORDS = range(11)
+#: the parent; its answer, the words' customers and tables; its words and their counts; its seating in a sample; words a chunk asks
+#: for; sums; answers to chunks, of pairs and of words; the seating of a bucket's restaurants.
+_PAIRS, _STATE, _PLACES, _ORDER, _BASE, _COUNTS, _SEATED, _ASK, _TOTAL, _REPLY, _WORDS, _SEATS = range(12)
 _ROOT, _MASS = -1, -2  # in `to` of sums: the parent's, others are of the context of that hash
 
 
@@ -309,6 +310,10 @@ def _parts(rows: pa.Table, kind: int) -> list[tuple[int, list[np.ndarray]]]:
     return [(f, unpack(d)) for f, d in sorted(found, key=lambda x: x[0])]
 
 
+def _keys(hashes: np.ndarray, sweep: int) -> np.ndarray:
+    return mixed(hashes + np.uint64(sweep << BITS))
+
+
 def _steps(sorted_: np.ndarray) -> np.ndarray:
     return np.diff(np.r_[np.zeros(1, dtype=sorted_.dtype), sorted_])
 
@@ -319,17 +324,32 @@ def _by_bucket(words: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
         yield b, slice(ends[b], ends[b + 1])
 
 
+#: Whether Spark removes a query's shuffle files when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark remove shuffle files that nothing refers to any more."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """cut(), after which the shuffle files of what led to the table are removed: nothing needs them any more."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEAN, "false")
+    conf.set(_CLEAN, "true")
+    try:
+        return cut(df, name)
+    finally:
+        conf.set(_CLEAN, before)
+
+
 class Seating:
     """A model's settings, and what its steps over tables do in each bucket (grouped Arrow functions)."""
 
-    def __init__(self, buckets: int, hot: np.ndarray):
-        self.buckets, self.hot = buckets, hot
+    def __init__(self, word_buckets: int, hot: np.ndarray):
+        self.word_buckets, self.hot = word_buckets, hot
 
     def merge(self, key, rows):
         """Adds up what chunks send a bucket of contexts: its restaurants, and where each chunk's pairs are in them."""
@@ -347,15 +367,14 @@ class Seating:
         c = np.add.reduceat(own[order], starts)
         contexts, context, lengths = np.unique(us[starts], return_inverse=True, return_counts=True)
         words, word = np.unique(ws[starts], return_inverse=True)
-        none = [np.zeros(len(contexts), dtype=np.uint32)] * (1 + SAMPLES)
-        state = pack(contexts, lengths.astype(np.int32), words, word.astype(np.uint32), c.astype(np.uint32), np.zeros(len(c), dtype=np.uint32), *none)
+        state = pack(_steps(contexts), lengths.astype(np.int32), _steps(words), word.astype(np.uint32), c.astype(np.uint32))
         out, at = [(_STATE, bucket, bucket, state)], 0
         for chunk, p in parts:
             out.append((_PLACES, bucket, chunk, pack(_steps(place[at : at + len(p[2])]).astype(np.uint32))))
             at += len(p[2])
         kinds, counts = np.bincount(word[c > 0], minlength=len(words)), np.bincount(word, weights=c, minlength=len(words))
         real = np.flatnonzero(kinds)
-        for b, some in _by_bucket(words[real], self.buckets):
+        for b, some in _by_bucket(words[real], self.word_buckets):
             some = real[some]
             out.append((_ORDER, b, bucket, pack(_steps(words[some]), kinds[some].astype(np.uint32), counts[some].astype(np.uint32))))
         customers = np.bincount(context, weights=c, minlength=len(contexts))
@@ -367,28 +386,17 @@ class Seating:
     def first(self, key, rows):
         """A bucket of words before the first sweep: each context that a word occurs in is a customer of the parent."""
         bucket = key[0].as_py()
-        words, place, (kinds, counts), parts = self._ordered(rows, 2)
-        out = [(_COUNTS, bucket, bucket, pack(_steps(words), counts.astype(np.uint32)))]
-        out += self._told(parts, place, (kinds - ROOT_DISCOUNT).astype(np.float32), bucket)
-        out.append((_TOTAL, _ROOT, bucket, b"", float(kinds.sum()), float((kinds**0.7).sum()), float(len(words))))
-        out.append((_TOTAL, _MASS, bucket, b"", float((kinds - ROOT_DISCOUNT).sum()), float(counts.sum())))
-        return _rows(out)
-
-    @staticmethod
-    def _ordered(rows: pa.Table, n: int):
-        """The distinct words of the orders in a bucket, where each order's words are in them, and n sums a word."""
         parts = [(f, np.cumsum(p[0], dtype=np.uint64), p[1:]) for f, p in _parts(rows, _ORDER)]
         words, place = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
-        sums = [np.bincount(place, weights=np.concatenate([p[2][k] for p in parts]), minlength=len(words)).astype(np.int64) for k in range(n)]
-        return words, place, sums, parts
-
-    @staticmethod
-    def _told(parts, place, mass, bucket) -> list[tuple]:
-        out, at = [], 0
+        kinds, counts = (np.bincount(place, weights=np.concatenate([p[2][k] for p in parts]), minlength=len(words)).astype(np.int64) for k in range(2))
+        out, at = [(_COUNTS, bucket, bucket, pack(_steps(words), counts.astype(np.uint32)))], 0
         for frm, hashes, _ in parts:
-            out.append((_BASE, frm, bucket, pack(mass[place[at : at + len(hashes)]])))
-            at += len(hashes)
-        return out
+            mine = place[at : at + len(hashes)]
+            out.append((_BASE, frm, bucket, pack(kinds[mine].astype(np.uint32), np.ones(len(mine), dtype=np.uint32), _steps(mine).astype(np.uint32))))
+            at += len(mine)
+        out.append((_TOTAL, _ROOT, bucket, b"", float(kinds.sum()), float((kinds**0.7).sum()), float(len(words))))
+        out.append((_TOTAL, _MASS, bucket, b"", float((kinds - ROOT_DISCOUNT).sum()), float(counts.sum())))
+        return _rows(out)
 
     def children(self, sweep: int, totals: dict):
         """The step that seats the restaurants of a bucket of contexts. totals: v of hot contexts, and of the parent the mass
@@ -396,12 +404,21 @@ class Seating:
 
         def run(key, rows):
             bucket = key[0].as_py()
-            contexts, lengths, words, word, c, t_sum, before, *sampled = _parts(rows, _STATE)[0][1]
+            contexts, lengths, words, word, c = _parts(rows, _STATE)[0][1]
+            contexts, words = np.cumsum(contexts, dtype=np.uint64), np.cumsum(words, dtype=np.uint64)
             told = _parts(rows, _BASE)
-            mass = np.zeros(len(words))
             context = np.repeat(np.arange(len(contexts)), lengths)
             real = np.flatnonzero(np.bincount(word[c > 0], minlength=len(words)))
-            mass[real] = np.concatenate([p[0] for _, p in told]) if told else mass[real]
+            customers, seats = (np.concatenate([p[k] for _, p in told]).astype(np.int64) if told else np.zeros(0) for k in range(2))
+            mass = np.zeros(len(words))
+            if sweep == 0:
+                places = [p[2] for _, p in told]
+                t_sum, sampled = np.zeros(len(c), dtype=np.uint32), [np.zeros(len(contexts), dtype=np.uint32)] * SAMPLES
+                mass[real] = customers - ROOT_DISCOUNT
+            else:
+                t_sum, before, *more = _parts(rows, _SEATS)[0][1]
+                sampled, places = more[:SAMPLES], more[SAMPLES:]
+                mass[real] = gamma(customers - ROOT_DISCOUNT * seats, _keys(words[real], sweep - 1))
             base = (mass + totals["rest"] / (totals["words"] + 1)) / (totals["mass"] + totals["rest"])
             several = np.flatnonzero(c > 1)
             where, x = context[several], DISCOUNT * base[word[several]]
@@ -409,13 +426,12 @@ class Seating:
             alone = np.bincount(context[c == 1], minlength=len(contexts)).astype(float)
             spread = np.isin(contexts, self.hot)
             place = np.searchsorted(self.hot, contexts[spread])
-            keys = mixed(contexts + np.uint64(sweep << BITS))
             if sweep == 0:
                 v = STRENGTH / DISCOUNT + np.maximum(alone, 1) + np.bincount(where, minlength=len(contexts))
                 v[spread] = totals["v"][place]
                 v = settled(v, dishes, where, base[word[several]], alone, ~spread)
             else:
-                v = gamma(STRENGTH / DISCOUNT + before, keys)
+                v = gamma(STRENGTH / DISCOUNT + before, _keys(contexts, sweep))
                 v[spread] = totals["v"][place]
             x = v[where] * x
             t = (c > 0).astype(np.uint32)
@@ -424,12 +440,10 @@ class Seating:
             if sweep >= BURN_IN:
                 t_sum = t_sum + t
                 sampled[sweep - BURN_IN] = tables
-            state = pack(contexts, lengths, words, word, c, t_sum, tables, *sampled)
-            out = [(_STATE, bucket, bucket, state)]
+            out = [(_SEATS, bucket, bucket, pack(t_sum, tables, *sampled, *places))]
             ordered = np.bincount(word, weights=t, minlength=len(words)).astype(np.uint32)
-            for b, some in _by_bucket(words[real], self.buckets):
-                some = real[some]
-                out.append((_ORDER, b, bucket, pack(_steps(words[some]), ordered[some])))
+            for (b, some), steps in zip(_by_bucket(words[real], self.word_buckets), places, strict=True):
+                out.append((_ORDER, b, bucket, pack(steps, ordered[real[some]])))
             if spread.any():
                 mean, var = alone.copy(), np.zeros(len(contexts))
                 if sweep < BURN_IN and (mine := np.flatnonzero(spread[where])).size:
@@ -447,20 +461,23 @@ class Seating:
 
         def run(key, rows):
             bucket = key[0].as_py()
-            words, place, (customers,), parts = self._ordered(rows, 1)
+            words = np.cumsum(_parts(rows, _COUNTS)[0][1][0], dtype=np.uint64)
+            parts = [(f, np.cumsum(steps, dtype=np.int64), n) for f, (steps, n) in _parts(rows, _ORDER)]
+            place = np.concatenate([at for _, at, _ in parts])
+            customers = np.bincount(place, weights=np.concatenate([n for *_, n in parts]), minlength=len(words)).astype(np.int64)
             several = np.flatnonzero(customers > 1)
             x = np.full(len(several), v * ROOT_DISCOUNT / (n_words + 1))
             dishes = Dishes(customers[several], ROOT_DISCOUNT)
-            keys = mixed(words + np.uint64(sweep << BITS))
+            keys = _keys(words, sweep)
             t = (customers > 0).astype(np.int64)
             t[several] = dishes.draw(x, uniform(keys[several], 50))
-            mass = gamma(customers - ROOT_DISCOUNT * t, keys).astype(np.float32)
-            out = self._told(parts, place, mass, bucket)
+            mass = gamma(customers - ROOT_DISCOUNT * t, keys)
+            out = [(_BASE, frm, bucket, pack(customers[at].astype(np.uint32), t[at].astype(np.uint32))) for frm, at, _ in parts]
             mean, var = dishes.moments(x) if sweep < BURN_IN else (np.zeros(1), np.zeros(1))
             out.append((_TOTAL, _ROOT, bucket, b"", float(mean.sum() + (customers == 1).sum()), float(var.sum()), float(t.sum())))
-            out.append((_TOTAL, _MASS, bucket, b"", float(mass.sum(dtype=np.float64)), float(customers.sum())))
+            out.append((_TOTAL, _MASS, bucket, b"", float(mass.sum()), float(customers.sum())))
             if sweep >= BURN_IN:
-                out.append((_SEATED, bucket, sweep, pack(_steps(words), customers.astype(np.uint32), t.astype(np.uint32))))
+                out.append((_SEATED, bucket, sweep, pack(customers.astype(np.uint32), t.astype(np.uint32))))
             return _rows(out)
 
         return run
@@ -468,7 +485,9 @@ class Seating:
     def answers(self, key, rows):
         """A bucket's restaurants, to the chunks whose pairs are in them: customers and tables of contexts and pairs."""
         bucket = key[0].as_py()
-        _, lengths, _, _, c, t_sum, _, *sampled = _parts(rows, _STATE)[0][1]
+        _, lengths, _, _, c = _parts(rows, _STATE)[0][1]
+        t_sum, _, *sampled = _parts(rows, _SEATS)[0][1]
+        sampled = sampled[:SAMPLES]
         context = np.repeat(np.arange(len(lengths)), lengths)
         totals = [np.bincount(context, weights=c, minlength=len(lengths)).astype(np.uint32), *sampled]
         out = []
@@ -482,14 +501,15 @@ class Seating:
         """A bucket of words, to the chunks that ask: counts, and customers and tables in the parent in each sample."""
         bucket = key[0].as_py()
         asked = [(f, np.cumsum(p[0], dtype=np.uint64)) for f, p in _parts(rows, _ASK)]
-        known = [(np.cumsum(p[0], dtype=np.uint64), p[1:]) for k in (_COUNTS, _SEATED) for _, p in _parts(rows, k)]
+        known = [x for _, p in _parts(rows, _COUNTS) for x in p]
         out = []
         for chunk, hashes in asked:
             reply = [np.zeros(len(hashes), dtype=np.uint32) for _ in range(1 + 2 * SAMPLES)]
-            if known and len(known[0][0]):
-                i = np.minimum(np.searchsorted(known[0][0], hashes), len(known[0][0]) - 1)
-                found = known[0][0][i] == hashes
-                reply = [np.where(found, x[i], 0).astype(np.uint32) for _, xs in known for x in xs]
+            if known:
+                words = np.cumsum(known[0], dtype=np.uint64)
+                i = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
+                found = words[i] == hashes
+                reply = [np.where(found, x[i], 0).astype(np.uint32) for x in (known[1], *(x for _, p in _parts(rows, _SEATED) for x in p))]
             out.append((_WORDS, chunk, bucket, pack(*reply)))
         return _rows(out)
 
@@ -539,7 +559,8 @@ def scores(docs: DataFrame, train, tokens_per_bucket: int = 300_000, least_bucke
 
     often = chunks.select("data").mapInArrow(common, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > total / HOT_SHARE)
     hot = np.array(sorted(r["h"] for r in often.select("h").collect()), dtype=np.uint64)
-    model = Seating(buckets, hot)
+    word_buckets = max(least_buckets, buckets // 8)  # fewer, so that the parent's messages are few and not small
+    model = Seating(word_buckets, hot)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -556,28 +577,30 @@ def scores(docs: DataFrame, train, tokens_per_bucket: int = 300_000, least_bucke
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 hashes = unpack(data)[5]
-                yield from _rows([(_ASK, b, chunk, pack(_steps(hashes[some]))) for b, some in _by_bucket(hashes, buckets)]).to_batches()
+                yield from _rows([(_ASK, b, chunk, pack(_steps(hashes[some]))) for b, some in _by_bucket(hashes, word_buckets)]).to_batches()
 
     def grouped(df: DataFrame, step) -> DataFrame:
         return df.repartition(parts, "to").groupBy("to").applyInArrow(lambda key, rows: step(key, rows), _SCHEMA)
 
     of = lambda df, *kinds: df.filter(F.col("kind").isin(*kinds))
-    merged = cut(grouped(chunks.select("chunk", "data").mapInArrow(send, _SCHEMA), model.merge), "merged")
+    merged = written(grouped(chunks.select("chunk", "data").mapInArrow(send, _SCHEMA), model.merge), "merged")
     release(spark)
-    counted = cut(grouped(of(merged, _ORDER), model.first), "counted")
+    counted = written(grouped(of(merged, _ORDER), model.first), "counted")
     found, start = _sums(counted), _sums(merged)
     kinds, start_root, n_words = found.get(_ROOT, (0.0, 0.0, 0.0))
     mass, n_train, _ = found.get(_MASS, (0.0, 0.0, 0.0))
     v = STRENGTH / DISCOUNT + np.array([start[int(h)][1] for h in hot])
     v_root, rest = ROOT_STRENGTH / ROOT_DISCOUNT + start_root, ROOT_STRENGTH + ROOT_DISCOUNT * n_words
-    state, base, seated, samples = merged, counted, [of(counted, _COUNTS)], []
+    state, known, seated, samples = of(merged, _STATE), of(counted, _COUNTS), [of(counted, _COUNTS)], []
+    seats, base, rooted_samples = of(merged, _SEATS), counted, []
     for sweep in range(BURN_IN + SAMPLES):
         told = {"v": v, "mass": mass, "rest": rest, "words": n_words}
-        swept = cut(grouped(of(state, _STATE).unionByName(of(base, _BASE)), model.children(sweep, told)), "swept")
-        rooted = cut(grouped(of(swept, _ORDER), model.parent(sweep, v_root, n_words)), "rooted")
+        all_of = state.unionByName(of(seats, _SEATS)).unionByName(of(base, _BASE))
+        swept = written(grouped(all_of, model.children(sweep, told)), "swept")
+        rooted = written(grouped(of(swept, _ORDER).unionByName(known), model.parent(sweep, v_root, n_words)), "rooted")
         release(spark)
-        if sweep:  # the tables of merged and counted, and of the samples' words, are read again at the end
-            discard(state, *([base] if sweep <= BURN_IN else []))
+        if sweep:  # the tables of counted, and of the samples' words, are read again at the end
+            discard(seats, *([base] if sweep <= BURN_IN else []))
         now, root = _sums(swept), _sums(rooted)
         mean, var, tables = root.get(_ROOT, (0.0, 0.0, 0.0))
         mass, customers, _ = root.get(_MASS, (0.0, 0.0, 0.0))
@@ -593,7 +616,8 @@ def scores(docs: DataFrame, train, tokens_per_bucket: int = 300_000, least_bucke
         if sweep >= BURN_IN:
             samples.append((customers, tables, {int(h): now[int(h)][2] for h in hot}))
             seated.append(of(rooted, _SEATED))
-        state, base = swept, rooted
+            rooted_samples.append(rooted)
+        seats, base = swept, rooted
     hot_totals = np.array([[start[int(h)][0], *(s[2][int(h)] for s in samples)] for h in hot]).reshape(-1, 1 + SAMPLES)
 
     def judge(key, chunk, replies):
@@ -633,8 +657,10 @@ def scores(docs: DataFrame, train, tokens_per_bucket: int = 300_000, least_bucke
         return pa.table([ids, pa.array(p.learn), pa.array(p.sizes), pa.array(known), pa.array(add(likely)), pa.array(add(plain))], names=names)
 
     asked = chunks.select("chunk", "data").mapInArrow(ask, _SCHEMA)
-    told = grouped(reduce(DataFrame.unionByName, seated, asked), model.words)
-    replies = grouped(of(state, _STATE).unionByName(of(merged, _PLACES)), model.answers)
+    told = written(grouped(reduce(DataFrame.unionByName, seated, asked), model.words), "told")
+    replies = written(grouped(of(merged, _STATE, _PLACES).unionByName(of(seats, _SEATS)), model.answers), "replies")
+    release(spark)
+    discard(merged, counted, seats, base, *rooted_samples)
     replies = replies.unionByName(told).withColumnRenamed("to", "chunk")
     scored = (
         chunks.select("chunk", "data")
