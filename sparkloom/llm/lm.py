@@ -535,7 +535,7 @@ def scores(docs: DataFrame, train, tokens_per_bucket: int = 300_000, least_bucke
     Blocked Gibbs: given v, drawn from a gamma distribution of shape strength / discount + a restaurant's tables, its
     dishes are independent, and t tables of a dish of c customers are in proportion to (v * discount * base)^t * S(c, t).
     Sweeps start where v is what its tables let expect, found by Newton's steps, within the first sweep, or where a restaurant
-    is dealt to all buckets, one in each sweep of the burn-in.
+    is dealt to all buckets, one after each sweep of the burn-in but the last.
 
     Null texts are empty: one token, the end. Null ids come back null. Repeated rows count each. Nothing to
     learn from leaves a uniform model of one word. An empty table gives no rows; other columns are ignored.
