@@ -6,8 +6,11 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.names import is_callable, valid_tags
 from ..plans.graph import Graph
@@ -87,15 +90,15 @@ def missing_embeddings(graph: Graph, embeddings: DataFrame, embed: Embedder, sum
         "name", "package", F.concat_ws(" ", "name", "signature").alias("title"),
     )
 
-    def said(row) -> str:
-        if row.summary_text:
-            return row.summary_text
+    def said(row: dict) -> str:
+        if row["summary_text"]:
+            return row["summary_text"]
         try:
-            return (summarize(row.name_, row.package, row.code_text) if summarize else "") or row.title
+            return (summarize(row["name"], row["package"], row["code_text"]) if summarize else "") or row["title"]
         except Exception:  # noqa: BLE001
-            return row.title
+            return row["title"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def vectors(texts: list[str]) -> list:
             try:
                 return list(embed(texts)) if texts else []
@@ -103,14 +106,13 @@ def missing_embeddings(graph: Graph, embeddings: DataFrame, embed: Embedder, sum
                 return [None] * len(texts)
 
         for whole_batch in batches:
-            for at in range(0, len(whole_batch), batch):
-                part = whole_batch.iloc[at : at + batch].copy()
-                part["summary_text"] = [said(r) for r in part.rename(columns={"name": "name_"}).itertuples()]
-                part = part.drop(columns=["name", "package", "title"])
-                part["summary_embedding"] = pd.Series(vectors(part["summary_text"].tolist()), index=part.index, dtype=object)
-                has = part["code_text"] != ""
-                part["code_embedding"] = pd.Series(vectors(part.loc[has, "code_text"].tolist()), index=part.index[has], dtype=object).reindex(part.index)
-                yield part.astype(object).where(part.notna(), None)
+            for at in range(0, whole_batch.num_rows, batch):
+                part = whole_batch.slice(at, batch).to_pylist()
+                texts, codes = [said(r) for r in part], [r["code_text"] for r in part]
+                found = iter(vectors([c for c in codes if c]))
+                columns = [r["node_id"] for r in part], texts, codes, vectors(texts), [next(found) if c else None for c in codes]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     ddl = "node_id string, summary_text string, code_text string, summary_embedding array<float>, code_embedding array<float>"
-    return rows.mapInPandas(run, ddl).filter("summary_embedding IS NOT NULL")
+    schema = to_arrow_schema(T._parse_datatype_string(ddl))
+    return rows.mapInArrow(run, ddl).filter("summary_embedding IS NOT NULL")

@@ -6,15 +6,20 @@ types follow from keys, and SQL over the same table says what the engine must fi
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.files import graph_of, parsed
+from ..sources.files import edges_of, nodes_of, parsed
 from .graph import Graph
 from .lineage import cut
+from .schema import EDGES
 from .tables import load
 
 MODULE, ROOT, PACKAGES, GROUP = "example.com/gen", "/src", 40, 5
+#: Files a task, about, so that a task's time doesn't grow with the module.
+PART = 10_000
 #: Table, key and label: of the module that is read from rows, and of the one that is written as a tree of files.
 LARGE, SMALL = ("customer", "c_custkey", "c_mktsegment"), ("nation", "n_nationkey", "n_name")
 
@@ -77,10 +82,12 @@ def _filled(lines: list[str], columns: dict[str, Column]) -> Column:
 
 
 def files(spark: SparkSession, sf_dir: str, of: tuple[str, str, str] = LARGE) -> DataFrame:
-    """path, content: the module's files."""
+    """path, content: the module's files, in even parts whatever the table's own: rows of keys are dealt, and texts made after."""
     table, key, label = of
     rows = load(spark, sf_dir, table).select(F.col(key).cast("long").alias("k"), F.col(label).alias("label"))
     least = rows.agg(F.min("k").alias("least"))
+    parts = max(-(-rows.count() // PART), spark.sparkContext.defaultParallelism)
+    rows = rows.repartition(parts)
     k, g = F.col("k"), F.floor(F.col("k") / GROUP)
     base = F.when((k % GROUP > 0) & (k > F.col("least")), F.concat(F.lit("T"), (k - 1).cast("string"))).otherwise("// no base")
     columns = {"k": k, "g": g, "p": g % PACKAGES, "q": (g + 1) % PACKAGES, "after": k + GROUP, "label": F.col("label"), "base": base}
@@ -89,17 +96,41 @@ def files(spark: SparkSession, sf_dir: str, of: tuple[str, str, str] = LARGE) ->
     return rows.crossJoin(F.broadcast(least)).select(path.alias("path"), content.alias("content"))
 
 
-_read: dict[tuple[str, str], tuple[DataFrame, Graph]] = {}
+class Scanned:
+    """The large module's parsed files and their graph; each part is written when it is first asked for, and what is not
+    asked for is not made."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return cut(parsed(files(self.spark, self.sf_dir), MODULE, ROOT), "generated")
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return cut(nodes_of(self.rows), "generated-nodes")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return cut(edges_of(self.rows, self.nodes), "generated-edges")
+
+    @property
+    def graph(self) -> Graph:
+        return Graph(self.nodes, self.edges)
+
+    @property
+    def bare(self) -> Graph:
+        """The nodes alone, for what reads no edge."""
+        return Graph(self.nodes, self.spark.createDataFrame([], EDGES))
+
+
+_read: dict[tuple[str, str], Scanned] = {}
 
 
-def scanned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Graph]:
-    """The large module's parsed files and its graph, written once a session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _read:
-        rows = cut(parsed(files(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism), MODULE, ROOT), "generated")
-        graph = graph_of(rows)
-        _read[key] = rows, Graph(cut(graph.nodes, "generated-nodes"), cut(graph.edges, "generated-edges"))
-    return _read[key]
+def scanned(spark: SparkSession, sf_dir: str) -> Scanned:
+    """The large module, its parts written once a session."""
+    return _read.setdefault((spark.sparkContext.applicationId, sf_dir), Scanned(spark, sf_dir))
 
 
 def _code(what: str, until: int = 1) -> str:

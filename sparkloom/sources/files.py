@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.names import node_id, placeholder
 from ..operators.resolve import implements_edges, resolve_placeholders, type_edges
@@ -66,10 +68,10 @@ def parsed(files: DataFrame, module: str | None = None, root: str = "") -> DataF
     whole import paths, by folder; without, the package clause's name."""
     root = plain(root)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
                 package = None
                 if module:
                     below = path.rsplit("/", 1)[0][len(root) :].strip("/") if path.startswith(root) else ""
@@ -79,9 +81,11 @@ def parsed(files: DataFrame, module: str | None = None, root: str = "") -> DataF
                     rows.append((path, src.package, None, [{"alias": a, "path": p} for a, p in src.imports.items()], src.functions, src.types))
                 except (ValueError, IndexError) as e:
                     rows.append((path, package, str(e) or type(e).__name__, [], [], []))
-            yield pd.DataFrame(rows, columns=["file", "package", "error", "imports", "functions", "types"])
+            columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return files.select("path", "content").mapInPandas(run, _PARSED)
+    schema = to_arrow_schema(T._parse_datatype_string(_PARSED))
+    return files.select("path", "content").mapInArrow(run, _PARSED)
 
 
 def nodes_of(rows: DataFrame) -> DataFrame:
@@ -113,9 +117,9 @@ def call_edges(rows: DataFrame) -> DataFrame:
 def _embedded(links: DataFrame) -> DataFrame:
     """type_id, part: all types that a type embeds, directly or through others; each round goes one embedding deeper, from
     what the round before found, until there is nothing new (types may embed pointers to each other)."""
-    found = new = cut(links.distinct(), "embeds")
+    links = found = new = cut(links.distinct(), "embeds")
     while not new.isEmpty():
-        deeper = links.select(F.col("type_id").alias("part"), F.col("part").alias("deeper")).distinct()
+        deeper = links.select(F.col("type_id").alias("part"), F.col("part").alias("deeper"))
         new = new.join(deeper, "part").select("type_id", F.col("deeper").alias("part")).distinct()
         new = cut(new.join(found, ["type_id", "part"], "left_anti"), "embeds")
         found = found.unionByName(new)
@@ -145,10 +149,18 @@ def type_relations(rows: DataFrame) -> DataFrame:
     return shaped(implements, EDGES).unionByName(shaped(type_edges(refs, t.select(F.col("type_id").alias("id")).distinct()), EDGES))
 
 
+def edges_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All edges of parsed files whose nodes these are."""
+    return calls_of(rows, nodes).unionByName(type_relations(rows))
+
+
+def calls_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    return shaped(distinct_edges(resolve_placeholders(nodes, call_edges(rows))), EDGES)
+
+
 def graph_of(rows: DataFrame) -> Graph:
     nodes = nodes_of(rows)
-    calls = distinct_edges(resolve_placeholders(nodes, call_edges(rows)))
-    return Graph(nodes, shaped(calls, EDGES).unionByName(type_relations(rows)))
+    return Graph(nodes, edges_of(rows, nodes))
 
 
 def scan(spark: SparkSession, root: str) -> Graph:

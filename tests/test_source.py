@@ -5,6 +5,7 @@ import os
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.plans.api import Server
 from sparkloom.plans.index import index_module, index_package, reindex_files
@@ -269,3 +270,26 @@ def test_searches_ensure_vectors(spark, module, tmp_path):
         raise OSError
 
     assert json.loads(Server(spark, store, module, broken).search_by_behavior([], "anything"))
+
+
+def test_a_file_scan_is_dealt_and_makes_no_graph(spark, sf):
+    """A table of one part is parsed by all tasks, and a query over files alone writes neither nodes nor edges."""
+    from sparkloom.plans import generated, sample
+
+    spread = generated.files(spark, sf).groupBy(F.spark_partition_id()).count().collect()
+    assert len(spread) == spark.sparkContext.defaultParallelism and max(r["count"] for r in spread) <= 2 * min(r["count"] for r in spread)
+    generated._read.clear()
+    assert sample.QUERIES["S1_file_scan"](spark, sf).count() == 150
+    assert not generated.scanned(spark, sf).__dict__.keys() & {"rows", "nodes", "edges"}
+    sample.QUERIES["E10_prompts"](spark, sf)
+    assert "edges" not in generated.scanned(spark, sf).__dict__
+
+
+def test_lines_of_tokens():
+    """Tokens' lines and places over space of any kind, comments and texts of several lines."""
+    from sparkloom.sources.gosource import tokens
+
+    text = "a \n\n\tb/* x\n y */c `r\ns`\x0b d // e\n\n'f' \n\n"
+    got, comments = tokens(text)
+    assert [(t.text, t.line) for t in got] == [("a", 1), ("b", 3), ("c", 4), ("`r\ns`", 4), ("d", 5), ("'f'", 7)]
+    assert all(text.startswith(t.text, t.at) for t in got) and comments == {4: [(3, "/* x\n y */")], 5: [(5, "// e")]}
