@@ -203,3 +203,18 @@ def test_queries_match_their_sql(spark):
         want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({sql})").fetchall()
         got = [tuple(r) for r in df.collect()]
         assert sorted(map(str, got)) == sorted(map(str, want)), name
+
+
+def test_queries_read_the_tables_they_need(spark, sf, monkeypatch):
+    """Parts of the tables' graph that a query rules out are not read; and a ball of many ids in one package, and of few in others, has the same edges."""
+    from sparkloom.plans.queries import QUERIES
+    from sparkloom.plans.tables import fk_graph
+
+    read = lambda name: {f.rsplit("/", 1)[1] for f in QUERIES[name](spark, sf).inputFiles()}
+    assert read("G9_package_resource") == {"supplier.parquet"} and read("A10_sinks") == {"region.parquet", "nation.parquet"}
+    assert "lineitem.parquet" not in read("F17_visible_edges")
+    g = fk_graph(spark, sf)
+    rows = lambda: sorted(map(str, traverse.neighborhood(g, "orders_7", 2).edges.select("from_id", "to_id", "type").collect()))
+    whole = rows()
+    monkeypatch.setattr(traverse, "HELD", 100)
+    assert rows() == whole and len(whole) > 1000
